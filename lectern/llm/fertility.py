@@ -130,3 +130,9 @@ def quality_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         fits = F.col("chars_per_token").between(b.least_chars, b.most_chars) & (F.col("byte_share") <= b.most_bytes) & (F.col("entropy") >= b.least_entropy * most)
         inside = inside | ((F.col("band") == name) & fits)
     return found.withColumn("band", key).withColumn("base_failed", failed).withColumn("kept", (~F.col("base_failed") & inside).cast(BooleanType()))
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """docs without the rows whose quality rules fail; columns stay as they are."""
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    return quality_measures(whole, "row", "text", "lang", **options).where("kept").select("doc_id.*")

@@ -161,8 +161,8 @@ def _linker(words: int, similarity: float):
         pairs = []
         for (_cluster, a, b), part in rows.groupby(["cluster", "a", "b"], sort=False):
             sets = [shingles((t or "").encode("utf-8", "surrogatepass"), words) for t in part["text"]]
-            # an id may come with several texts: only the one with the node's own set counts, once
-            own = {n: k for k, (n, s) in enumerate(zip(part["node"], sets, strict=True)) if set_name(s) == n}
+            # rows may repeat: each node counts once
+            own = {n: k for k, n in enumerate(part["node"])}
             order = [own[n] for n in sorted(own)]
             part, sets = part.iloc[order], [sets[k] for k in order]
             if len(part) < 2:
@@ -184,8 +184,9 @@ def _linker(words: int, similarity: float):
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """One row per document: class_id (smallest id its links reach), n_links (other documents linked directly), kept (first of its class), node.
 
-    Texts with equal shingle sets are linked at similarity 1; of rows that
-    share the smallest id of a class, all are kept. Texts without a word, null
+    Texts with equal shingle sets are linked at similarity 1; kept is true for
+    the smallest id, then hash of the text (`version`), and for rows that repeat
+    it. Texts without a word, null
     and empty ones included, link with nothing; a text of fewer than `words`
     words is one shingle; words are case-sensitive runs without white space; a
     null id is larger than any; an empty table gives no rows; other columns are
@@ -202,8 +203,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return sketch
 
     fields = [("node", LongType()), ("n_shingles", LongType()), ("keys", ArrayType(LongType()))]
-    sketches = cut(per_text(docs, {"doc_id": id_col}, text_col, fields, make), "sketches")
-    nodes = cut(sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.max("n_shingles").alias("n_shingles"), F.any_value("keys").alias("keys")), "nodes")
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("version"))
+    sketches = cut(per_text(named, {"doc_id": "doc_id", "version": "version"}, "text", fields, make), "sketches")
+    nodes = cut(sketches.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "version")).alias("rep"), F.count(F.lit(1)).alias("weight"), F.max("n_shingles").alias("n_shingles"), F.any_value("keys").alias("keys")), "nodes")
     banded = nodes.select("node", F.explode("keys").alias("key"))
     leaders = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "leader")
     edges = banded.join(leaders, "key").where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
@@ -212,15 +214,25 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     units = cut(block_pairs(members, ["cluster"], "node", block), "units")
     held = units.agg(F.sum(F.col("n_shingles") * 8 + 100)).first()[0] or 0
     task = F.pmod(F.xxhash64("cluster", "a", "b"), F.lit(max(12, math.ceil(held / TASK_BYTES))))
-    named = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-    texts = units.join(named, units["rep"].eqNullSafe(named["rep"])).select("cluster", "a", "b", "side", "node", "weight", "text", task.alias("task"))
+    same = units["rep"]["version"].eqNullSafe(named["version"]) & units["rep"]["doc_id"].eqNullSafe(named["doc_id"])
+    texts = units.join(named, same).select("cluster", "a", "b", "side", "node", "weight", "text", task.alias("task"))
     found = cut(texts.groupBy("task").applyInPandas(_linker(words, similarity), "node long, links long, other long"), "links")
     links = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v")))
     facts = nodes.select("node", "rep", (F.col("weight") - 1).alias("copies")).join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     facts = cut(facts, "facts")
-    lowest = facts.groupBy("root").agg(F.min("rep").alias("class_id"))
-    facts = facts.join(lowest, "root").select("node", "class_id", (F.col("copies") + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = sketches.select("doc_id", "node", "n_shingles").join(facts, "node", "left")
-    class_id = F.coalesce("class_id", "doc_id")
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(class_id).alias("kept"), "n_shingles")
+    lowest = facts.groupBy("root").agg(F.min("rep").alias("first"))
+    facts = facts.join(lowest, "root").select("node", "first", (F.col("copies") + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = sketches.select("doc_id", "version", "node", "n_shingles").join(facts, "node", "left")
+    alone = F.col("first").isNull()
+    class_id = F.when(alone, F.col("doc_id")).otherwise(F.col("first")["doc_id"])
+    kept = alone | (F.col("first")["doc_id"].eqNullSafe(F.col("doc_id")) & F.col("first")["version"].eqNullSafe(F.col("version")))
+    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), kept.alias("kept"), "n_shingles", "version")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one document of each class: the smallest id, of several texts under it the smallest hash, of repeated rows any one."""
+    kept = jaccard_join(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
+    versioned = docs.withColumn("_version", F.xxhash64(F.col(text_col)))
+    joined = versioned.join(kept.withColumnRenamed("_version", "_v"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")))
+    return joined.dropDuplicates([id_col, "_version"]).select(docs.columns)

@@ -149,3 +149,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = drawn.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     copies = (F.col("whole") + F.round("chance")).cast("long")
     return out.select("doc_id", "spot", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs with every row repeated as often as the mix takes it; columns stay as they are."""
+    drawn = mix(docs, id_col, text_col, source_col, **options).select(F.col("doc_id").alias("_id"), "spot", F.col("source").alias("_source"), "copies")
+    # rows alike in id, text and source are matched one to one
+    alike = lambda *c: Window.partitionBy(*c).orderBy(F.lit(0))
+    drawn = drawn.withColumn("_n", F.row_number().over(alike("spot", "_id", "_source")))
+    rows = docs.withColumn("_spot", F.xxhash64(F.col(id_col), F.col(text_col)))
+    rows = rows.withColumn("_m", F.row_number().over(alike("_spot", id_col, source_col)))
+    same = (F.col("_spot") == F.col("spot")) & F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source")) & (F.col("_m") == F.col("_n"))
+    joined = rows.join(drawn.where("copies > 0"), same)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
