@@ -7,6 +7,7 @@ boundary in front, which Java's own \\b isn't.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,8 +25,11 @@ class Rule:
     passes: int = 1
 
     def java(self) -> tuple[str, str]:
-        front = "(?<![A-Za-z0-9_])" if self.word else f"(?<={self.behind})" if self.behind else ""
-        return front + self.pattern + (f"(?={self.ahead})" if self.ahead else ""), self.out
+        pattern, front = self.pattern, f"(?<={self.behind})" if self.behind else ""
+        if self.word:  # the boundary is tested behind the first word, so that its letters are searched for
+            first = re.match(r"[A-Za-z]+(?: [a-z]+)?", pattern)[0]
+            pattern = f"{first}(?<![A-Za-z0-9_]{first}){pattern[len(first):]}"
+        return front + pattern + (f"(?={self.ahead})" if self.ahead else ""), self.out
 
     def re2(self) -> tuple[str, str]:
         """Groups: `behind`, then those of the pattern (at most one, and never with `behind`), then `ahead`."""
@@ -107,17 +111,31 @@ def strip_citations(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(col, NUMERIC_CITATION, ""), CITATION_JAVA, "")
 
 
-#: Any speech rule needs one of these; other text skips the whole chain.
-TRIGGER = r"[.×±≈≤≥→∼~%°&^−–•●■◆▪]|vs\s"
+#: What any abbreviation, and any symbol rule, needs in a text; other texts skip the whole group.
+ABBREVIATED = r"(?:Figs?|Eq[sn]?|Secs?|Tab|Refs?|Alg|Appx|e\.g|i\.e|cf|w\.r\.t|approx|et al)\.|vs[.\s]"
+SYMBOLS = "[×±≈≤≥→∼~%°&^−–•●■◆▪]"
+GROUPS = ((ABBREVIATED, tuple(r for r in SPEECH if r.word)), (SYMBOLS, tuple(r for r in SPEECH if not r.word)))
+
+
+def let(col: Column, body) -> Column:
+    """body(x) with x bound to col's value, which is computed once however often body names it."""
+    return F.element_at(F.transform(F.array(col), body), 1)
+
+
+def guarded(col: Column, pattern: str, body) -> Column:
+    return let(col, lambda x: F.when(x.rlike(pattern), body(x)).otherwise(x))
 
 
 def speech_rules(col: Column) -> Column:
-    """All speech rules, behind one cheap test for the characters that any of them needs."""
-    return F.when(col.rlike(TRIGGER), apply_rules(col, SPEECH)).otherwise(col)
+    """All speech rules in order; each group stands behind one test for what any of its rules needs."""
+    for needed, rules in GROUPS:
+        col = guarded(col, needed, lambda x, rules=rules: apply_rules(x, rules))
+    return col
 
 
 def clean_for_speech(col: Column, citations: bool = True) -> Column:
-    return apply_rules(speech_rules(strip_citations(col) if citations else col), CLEANUP)
+    stripped = guarded(col, r"[\[(]", strip_citations) if citations else col
+    return apply_rules(speech_rules(stripped), CLEANUP)
 
 
 def quoted(text: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.rules import let
 
 BLOCK = "struct<kind:string,text:string,number:string,heading:boolean>"
 
@@ -18,13 +19,17 @@ def paragraphs(text: Column, newline_is_paragraph: bool = False) -> Column:
 
 
 def _facts(p: Column) -> Column:
-    rest = T.heading_rest(p)
-    number = T.heading_number(p)
-    words = F.split(rest, r"\s+")
-    known = rest.rlike(T.REFERENCES)
+    """What decides a paragraph's kind; only short unpunctuated ones are looked at as headings."""
     short = (F.length(p) <= 80) & ~p.rlike(r"[.!?,;:]\z") & p.rlike("^[A-Z0-9]")
-    heads = short & ((number != "") | known | (T.title_case(words) & (F.size(words) <= 8)))
-    return F.struct(p.alias("text"), p.rlike(T.CAPTION).alias("caption"), heads.alias("heads"), known.alias("known"), number.alias("number"), rest.alias("rest"))
+    parts = F.when(short, F.struct(T.heading_number(p).alias("number"), T.heading_rest(p).alias("rest")))
+
+    def judge(h: Column) -> Column:
+        words = F.split(h["rest"], r"\s+")
+        known = F.coalesce(h["rest"].rlike(T.REFERENCES), F.lit(False))
+        heads = h.isNotNull() & ((h["number"] != "") | known | (T.title_case(words) & (F.size(words) <= 8)))
+        return F.struct(p.alias("text"), p.rlike(T.CAPTION).alias("caption"), heads.alias("heads"), known.alias("known"), F.coalesce(h["number"], F.lit("")).alias("number"), F.coalesce(h["rest"], p).alias("rest"))
+
+    return let(parts, judge)
 
 
 def _block(kind: str, text: Column, number: Column | None = None, heading: bool = False) -> Column:
