@@ -142,7 +142,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         # all blocks of a source shrink alike: a source with one block was only flown, so it flies again with itself
         level = done.where(~settled).withColumn("block", F.floor(F.col("block") / (block // 2)))
     if not decided:
-        return docs.sparkSession.createDataFrame([], base.select("doc_id", "size", F.col("source"), F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken")).schema)
+        return docs.sparkSession.createDataFrame([], base.select("doc_id", "spot", "size", "source", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken")).schema)
     drawn = decided[0]
     for part in decided[1:]:
         drawn = drawn.unionByName(part)
