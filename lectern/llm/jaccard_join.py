@@ -215,7 +215,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = units.agg(F.sum(F.col("n_shingles") * 8 + 100)).first()[0] or 0
     task = F.pmod(F.xxhash64("cluster", "a", "b"), F.lit(max(12, math.ceil(held / TASK_BYTES))))
     same = units["rep"]["version"].eqNullSafe(named["version"]) & units["rep"]["doc_id"].eqNullSafe(named["doc_id"])
-    texts = units.join(named, same).select("cluster", "a", "b", "side", "node", "weight", "text", task.alias("task"))
+    # always shuffled: the units grow with the data, so their broadcast must not be a matter of size
+    texts = units.hint("merge").join(named, same).select("cluster", "a", "b", "side", "node", "weight", "text", task.alias("task"))
     found = cut(texts.groupBy("task").applyInPandas(_linker(words, similarity), "node long, links long, other long"), "links")
     links = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v")))
