@@ -1,48 +1,43 @@
-"""Public vocabularies applied word by word through a bounded cache.
-
-A byte-level BPE splits text with a pattern before merging, and where no two
-white-space characters touch, cutting in front of each space or newline never
-falls inside one of its parts. So such texts are encoded from a cache of words;
-any other text is encoded whole. Both give the ids of the library itself.
-"""
+"""Public vocabularies, loaded once per Python worker."""
 
 from __future__ import annotations
 
-import re
+import base64
 
 import numpy as np
 
-TOUCHING = re.compile(r"\s\s")
 CACHED_WORDS = 300_000
+#: Text on which both libraries must agree before the faster one is used.
+PROBE = "Hello world's 2024 naïve  co-op\n\n\t<|endoftext|> 日本 ... ‘x’ don't \r\n end "
 
 
 class ByteBpe:
-    """ids(text) -> little-endian uint32 bytes of the ids that `tokenizers` gives without special tokens; their strings in a text are ordinary text."""
+    """ids(text) -> little-endian uint32 bytes of the ids that `tokenizers` gives without special tokens; their strings in a text are ordinary text.
+
+    The ids are those of the JSON vocabulary. Its merges are run by tiktoken on
+    the same vocabulary as ranks, some four times faster; a probe at loading
+    and the tests hold the two against each other.
+    """
 
     def __init__(self, path: str) -> None:
+        import tiktoken
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        with open(path.removesuffix(".json") + ".tiktoken", "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        if self.ids(PROBE) != self.whole(PROBE):
+            raise ValueError(f"{path} and its ranks don't agree")
 
     def whole(self, text: str) -> bytes:
+        """The ids by `tokenizers` itself."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if TOUCHING.search(text):
-            return self.whole(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        cache = self.cache
-        if new := [w for w in dict.fromkeys(rest) if w not in cache]:
-            if len(cache) + len(new) > CACHED_WORDS:
-                cache.clear()
-                new = list(dict.fromkeys(rest))
-            for w, e in zip(new, self.tokenizer.encode_batch([w if w[:1] == "\n" else " " + w for w in new], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return (self.whole(first) if first else b"") + b"".join([cache[w] for w in rest])
+        return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes() if text else b""
 
 
 class Pieces:

@@ -279,7 +279,7 @@ def test_packing(docs, rows):
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["word", "Été", " ", " ", "\n", "  ", " \n ", "\t", "'s", "12", "...", " ", "<|endoftext|>", "日本", "\x1c", "\r\n"]), max_size=20).map("".join))
-def test_cached_ids_are_the_tokenizers(text):
+def test_ids_are_the_tokenizers(text):
     bpe = loaded(ByteBpe, "byte_bpe_50k.json")
     assert bpe.ids(text) == bpe.whole(text)
 
