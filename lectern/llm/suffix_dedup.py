@@ -26,6 +26,7 @@ import struct
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -165,7 +166,8 @@ def repeated_windows(documents: DataFrame, flagged: DataFrame, buckets: int, len
     joined = documents.select("doc", "version", "text").join(flagged.dropDuplicates(["doc", "version"]), ["doc", "version"])
 
     def emit(held: dict) -> pa.RecordBatch:
-        return _batches_of([list(held), [b"".join(x) for x in held.values()]], [pa.int32(), pa.binary()], ["bucket", "strings"])
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return _batches_of([list(held), [pack(b"".join(x)) for x in held.values()]], [pa.int32(), pa.binary()], ["bucket", "strings"])
 
     def strings(batches):
         for batch in batches:
@@ -183,7 +185,8 @@ def repeated_windows(documents: DataFrame, flagged: DataFrame, buckets: int, len
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         records = []
-        for blob in rows["strings"]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for blob in map(unpack, rows["strings"]):
             at = 0
             while at < len(blob):
                 name, doc, version, first, offset, size = struct.unpack_from(HEAD, blob, at)
