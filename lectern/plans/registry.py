@@ -425,7 +425,7 @@ def layout_blocks(spark, sf_dir):
 
 @query()
 def layout_sentences(spark, sf_dir):
-    """Runs to what is read aloud, sentence by sentence."""
+    """Runs to what is spoken, sentence by sentence."""
     runs = _runs(spark, sf_dir)
     pages = runs.select("doc_id", "page").distinct().withColumn("height", F.lit(792.0))
     return sentences(speech.apply_options(layout_fold.layout_blocks(runs, pages)))
