@@ -19,7 +19,7 @@ from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 from ._shared import buckets_for, cut, small_batches, text_bytes
 from .spans import keyed, removed
 
-#: Chunks are at least LEAST bytes, then end where GEAR bits of the hash are zero, at MOST bytes at the latest (but for a document's last one).
+#: Chunks are at least LEAST bytes, then end where GEAR bits of the hash are zero, at MOST bytes at the latest; an end of fewer than LEAST bytes belongs to the chunk before it.
 LEAST, GEAR_BITS, MOST = 48, 5, 1024
 GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 SEGMENT = 1 << 20
@@ -59,6 +59,8 @@ def cuts(data: bytes, least: int = LEAST, bits: int = GEAR_BITS, most: int = MOS
         last += most
         ends.append(last)
     if last < len(data):
+        if ends and len(data) - last < least:
+            ends.pop()
         ends.append(len(data))
     return ends
 
@@ -138,8 +140,8 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null or empty text has no chunks; rows that repeat id and text are one
     document and share its spans; a null id comes after all others; an empty
-    table gives no rows; other columns are ignored. A document's last chunk may
-    be shorter than LEAST; it counts like any other.
+    table gives no rows; other columns are ignored. Only the one
+    chunk of a shorter document has fewer than LEAST bytes.
     """
     documents = keyed(docs, id_col, text_col)
     return removed(documents, duplicate_chunks(documents, **sizes), with_kept)
