@@ -44,6 +44,10 @@ def _keys(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
 def _unit(data: list[bytes], kind: str) -> np.ndarray:
     """Vectors of one length as unit rows in double precision."""
     vectors = np.frombuffer(b"".join(data), dtype=kind).reshape(len(data), -1).astype(np.float64)
+    largest = np.abs(vectors).max(axis=1)
+    # squares of these would overflow or vanish; powers of two change no direction
+    odd = (largest > 1e100) | (largest < 1e-100)
+    vectors[odd] = np.ldexp(vectors[odd], -np.frexp(largest[odd])[1][:, None])
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -57,8 +61,7 @@ def _valid(kind: str):
                 x = None
                 if v and not any(c is None for c in v):
                     x = np.array(v, dtype=kind) + np.array(0, dtype=kind)  # one zero
-                    norm = np.linalg.norm(x.astype(np.float64))
-                    x = x.tobytes() if np.isfinite(norm) and norm > 0 else None
+                    x = x.tobytes() if np.isfinite(x).all() and x.any() else None
                 out.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, type=pa.binary())], names=["vec_id", "vector"])
 

@@ -306,6 +306,22 @@ def test_near_embeddings(spark):
     assert sum(got[i].component_id == low[i] for i in range(len(x))) >= 0.99 * len(x)
 
 
+def test_embeddings_of_extreme_size(spark):
+    table = [(1, [1e300, 1e300]), (2, [1e300, 1.1e300]), (3, [5e-324, 5e-324]), (4, [-1e-200, 1e-200]), (5, [-2.0, 2.1]), (6, [1.0, 1.0]), (7, [float("inf"), 1.0]), (8, [0.0, -0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_embeddings(spark.createDataFrame(table, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 6: (3, 1), 4: (1, 4), 5: (1, 4), 7: (0, 7), 8: (0, 8)}
+
+
+def test_chunks_without_short_ends():
+    rng = random.Random(2)
+    for n in (0, 1, 47, 48, 49, 500, 5000):
+        data = rng.randbytes(n)
+        ends = cuts(data)
+        sizes = np.diff([0, *ends])
+        assert sum(sizes) == n and (len(ends) <= 1 or min(sizes) >= 48)
+    assert len(cuts(b"x" * 1030)) == 1
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201), (201, 200)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
