@@ -15,12 +15,15 @@ each of seven offsets, so only a sample takes part, and nothing is lost by it:
    first that is equal. The comparison is of bytes, not of hashes.
 
 Names move packed, once per block of documents, so a passage that a third of
-all documents holds costs one entry a block in step 2. In step 3 a name's
-strings are dealt once more by their own bytes if there are many.
+all documents holds costs one entry a block in step 2. In step 3 the strings of
+a name that occurs more than FREQUENT times, such as one line between ever other
+neighbours, are dealt by their own bytes instead: window by window, to the
+bucket of the window's digest of 128 bits, each digest once per task.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 
 import numpy as np
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from ._shared import buckets_for, cut, small_batches, text_bytes
+from .chunk_dedup import CHUNK, _first_of
 from .spans import keyed, removed
 
 LENGTH, GRAM = 100, 32
@@ -40,6 +44,8 @@ INDEX_BITS = 21
 SEGMENT = 1 << 20
 BLOCK_ANCHORS = 1 << 18
 TASK_BYTES = 24 << 20
+#: Strings of one name that are still compared in one task, some 16 KB of memory each; windows that a task holds before it deals them.
+FREQUENT, HELD = 8192, 400_000
 _RANDOM = np.random.default_rng(77)
 FIRST = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FACTORS = _RANDOM.integers(0, 1 << 63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,37 +116,45 @@ def _named_blocks(documents: DataFrame, length: int) -> DataFrame:
 
 
 def _dealt(names: np.ndarray, buckets: int):
-    """Distinct names by bucket: (distinct sorted by bucket, index of each name there, bucket edges, bucket numbers)."""
+    """Distinct names by bucket: (distinct sorted by bucket, index of each name there, how often each occurs, bucket numbers, bucket edges)."""
     distinct, back, counts = np.unique(names, return_inverse=True, return_counts=True)
     bucket = ((distinct >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     where = np.empty(len(order), dtype=np.int64)
     where[order] = np.arange(len(order))
     numbers, edges = np.unique(bucket[order], return_index=True)
-    return distinct[order], where[back], counts[order] > 1, numbers, np.append(edges, len(order))
+    return distinct[order], where[back], counts[order], numbers, np.append(edges, len(order))
 
 
-def repeated_anchors(documents: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
-    """(doc, version, flags): for documents with any, which of their anchors have a name that occurs again somewhere; as packed bits."""
+def repeated_anchors(documents: DataFrame, buckets: int, length: int = LENGTH, frequent: int = FREQUENT) -> tuple[DataFrame, np.ndarray, int]:
+    """(doc, version, flags): for documents with any, which of their anchors have a name that occurs again somewhere, as packed bits; the sorted names that occur more than `frequent` times; how often these occur in all."""
     blocks = cut(_named_blocks(documents, length), "names")
 
     def deal(batches):
         for batch in batches:
             for block, names in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                distinct, _, multiple, numbers, edges = _dealt(np.frombuffer(names.as_py(), dtype="<u8"), buckets)
+                distinct, _, times, numbers, edges = _dealt(np.frombuffer(names.as_py(), dtype="<u8"), buckets)
                 cells = list(zip(edges[:-1], edges[1:], strict=True))
-                yield _batches_of([numbers, [block] * len(cells), [distinct[a:b].tobytes() for a, b in cells], [np.packbits(multiple[a:b]).tobytes() for a, b in cells]], [pa.int32(), pa.int64(), pa.binary(), pa.binary()], ["bucket", "block", "names", "multiple"])
+                more = [times[a:b][times[a:b] > 1].astype("<u4").tobytes() for a, b in cells]
+                yield _batches_of([numbers, [block] * len(cells), [distinct[a:b].tobytes() for a, b in cells], [np.packbits(times[a:b] > 1).tobytes() for a, b in cells], more], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], ["bucket", "block", "names", "multiple", "times"])
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         parts = [np.frombuffer(x, dtype="<u8") for x in rows["names"]]
         own = np.concatenate([np.unpackbits(np.frombuffer(m, dtype=np.uint8), count=len(p)) for m, p in zip(rows["multiple"], parts, strict=True)])
-        _, back, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        again = (counts[back] > 1) | (own > 0)
+        distinct, back = np.unique(np.concatenate(parts), return_inverse=True)
+        times = np.ones(len(own), dtype=np.int64)
+        times[own > 0] = np.concatenate([np.frombuffer(x, dtype="<u4") for x in rows["times"]])
+        counts = np.bincount(back, weights=times).astype(np.int64)
+        again = counts[back] > 1
         edges = np.cumsum([0, *map(len, parts)])
-        return pd.DataFrame({"block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "again": [np.packbits(again[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]})
-
-    dealt = blocks.select("block", "names").mapInArrow(deal, "bucket int, block long, names binary, multiple binary")
-    answers = dealt.groupBy("bucket").applyInPandas(count, "block long, bucket int, again binary")
+        often = counts > frequent
+        answer = {"block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "again": [np.packbits(again[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], "often": None, "strings": 0}
+        found = {"block": [-1], "bucket": [-1], "again": [None], "often": [distinct[often].tobytes()], "strings": [int(counts[often].sum())]}
+        return pd.concat([pd.DataFrame(answer), pd.DataFrame(found)]) if often.any() else pd.DataFrame(answer)
+
+    dealt = blocks.select("block", "names").mapInArrow(deal, "bucket int, block long, names binary, multiple binary, times binary")
+    counted = cut(dealt.groupBy("bucket").applyInPandas(count, "block long, bucket int, again binary, often binary, strings long"), "answers")
+    answers = counted.where("block >= 0").select("block", "bucket", "again")
     per_block = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "again"))).alias("answers"))
 
     def flag(batches):
@@ -154,38 +168,94 @@ def repeated_anchors(documents: DataFrame, buckets: int, length: int = LENGTH) -
                 if some:
                     yield _batches_of(list(zip(*some, strict=True)), [pa.int64(), pa.int64(), pa.binary()], ["doc", "version", "flags"])
 
-    return blocks.join(per_block, "block").select("docs", "names", "answers").mapInArrow(flag, "doc long, version long, flags binary")
+    flagged = blocks.join(per_block, "block").select("docs", "names", "answers").mapInArrow(flag, "doc long, version long, flags binary")
+    # few: a name for more than `frequent` strings
+    often = counted.where("block < 0").select("often", "strings").collect()
+    return flagged, np.sort(np.frombuffer(b"".join(r.often for r in often), dtype="<u8")), sum(r.strings for r in often)
 
 
 #: name, document, version, first window, anchor - first window, bytes; then the bytes.
 HEAD = "<QqqQBB"
 
 
-def repeated_windows(documents: DataFrame, flagged: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
-    """(doc, version, start, end) that windows with an equal earlier one cover."""
+def _runs(windows: np.ndarray) -> np.ndarray:
+    """The windows' rows with neighbours of a document made one; digests are left out."""
+    order = np.lexsort((windows["start"], windows["version"], windows["doc"]))
+    spans = windows[order]
+    if not len(spans):
+        return spans
+    new = np.ones(len(spans), dtype=bool)
+    new[1:] = (spans["doc"][1:] != spans["doc"][:-1]) | (spans["version"][1:] != spans["version"][:-1]) | (spans["start"][1:] > spans["end"][:-1])
+    first = np.flatnonzero(new)
+    out = spans[first]
+    # windows are equally long, so the last one ends last
+    out["end"] = spans["end"][np.append(first[1:], len(spans)) - 1]
+    out["high"] = out["low"] = 0
+    return out
+
+
+def dealt_strings(documents: DataFrame, flagged: DataFrame, buckets: int, length: int = LENGTH, often: np.ndarray = np.empty(0, np.uint64), wide: int = 0) -> DataFrame:
+    """(bucket, strings): strings of repeated anchors to the bucket of their name, packed; names in `often` go as windows to one of `wide` buckets after these, and what a task settles itself goes to as many after those."""
     joined = documents.select("doc", "version", "text").join(flagged.dropDuplicates(["doc", "version"]), ["doc", "version"])
 
     def emit(held: dict) -> pa.RecordBatch:
         pack = zstandard.ZstdCompressor(level=1).compress
         return _batches_of([list(held), [pack(b"".join(x)) for x in held.values()]], [pa.int32(), pa.binary()], ["bucket", "strings"])
 
+    def flush(windows: list, task: int) -> pa.RecordBatch:
+        table = np.array(windows, dtype=CHUNK)
+        first = _first_of(table)
+        again, table = _runs(table[~first]), table[first]
+        place = buckets + (table["low"] % np.uint64(wide)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        table, place = table[order], place[order]
+        names, edges = np.unique(place, return_index=True)
+        held = {int(n): [table[a:b].tobytes()] for n, a, b in zip(names, edges, [*edges[1:], len(table)], strict=True)}
+        if len(again):
+            held[buckets + wide + task % wide] = [again.tobytes()]
+        return emit(held)
+
     def strings(batches):
+        windows: list[tuple] = []
+        task = TaskContext.get().partitionId()
         for batch in batches:
             held: dict[int, list[bytes]] = {}
             for doc, version, text, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
                 data = text.as_py()
                 names, anchor, first, last = anchors(data, length)
-                kept = np.flatnonzero(np.unpackbits(np.frombuffer(bits.as_py(), dtype=np.uint8), count=len(names)))
+                flags = np.unpackbits(np.frombuffer(bits.as_py(), dtype=np.uint8), count=len(names)) > 0
+                many = np.isin(names, often)
+                for f, e in zip(first[flags & many].tolist(), last[flags & many].tolist(), strict=True):
+                    for at in range(f, e + 1):
+                        digest = hashlib.blake2b(data[at : at + length], digest_size=16).digest()
+                        windows.append((int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little"), doc, version, at, at + length))
+                    if len(windows) >= HELD:
+                        yield flush(windows, task)
+                        windows = []
+                kept = np.flatnonzero(flags & ~many)
                 spot = ((names >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
                 for k, n, a, f, e in zip(spot[kept].tolist(), names[kept].tolist(), anchor[kept].tolist(), first[kept].tolist(), last[kept].tolist(), strict=True):
                     size = e + length - f
                     held.setdefault(k, []).append(struct.pack(HEAD, n, doc, version, f, a - f, size) + data[f : e + length])
             if held:
                 yield emit(held)
+        if windows:
+            yield flush(windows, task)
+
+    return joined.select("doc", "version", "text", "flags").mapInArrow(strings, "bucket int, strings binary")
+
+
+def repeated_windows(documents: DataFrame, flagged: DataFrame, buckets: int, length: int = LENGTH, often: np.ndarray = np.empty(0, np.uint64), wide: int = 0) -> DataFrame:
+    """(doc, version, start, end) that windows with an equal earlier one cover."""
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         records = []
         unpack = zstandard.ZstdDecompressor().decompress
+        if rows["bucket"].iloc[0] >= buckets:
+            table = np.frombuffer(b"".join(map(unpack, rows["strings"])), dtype=CHUNK)
+            if rows["bucket"].iloc[0] < buckets + wide:
+                table = _runs(table[~_first_of(table)])
+            return pd.DataFrame({c: table[c].astype("int64") for c in ("doc", "version", "start", "end")})
         for blob in map(unpack, rows["strings"]):
             at = 0
             while at < len(blob):
@@ -233,11 +303,11 @@ def repeated_windows(documents: DataFrame, flagged: DataFrame, buckets: int, len
                 kept.append([doc, version, start, end])
         return pd.DataFrame(np.array(kept, dtype=np.int64).reshape(-1, 4), columns=["doc", "version", "start", "end"])
 
-    dealt = joined.select("doc", "version", "text", "flags").mapInArrow(strings, "bucket int, strings binary")
+    dealt = dealt_strings(documents, flagged, buckets, length, often, wide)
     return dealt.groupBy("bucket").applyInPandas(settle, "doc long, version long, start long, end long")
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_kept: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_kept: bool = False, frequent: int = FREQUENT) -> DataFrame:
     """One row per document: n_bytes, spans of bytes covered by a string of `length` bytes that starts earlier too, n_removed, n_spans, kept_sha256.
 
     Earlier: in a document with a smaller id, or before in the same. Strings lie
@@ -251,6 +321,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(docs.sparkSession)
     documents = keyed(docs, id_col, text_col)
     total = text_bytes(documents, "text")
-    flagged = cut(repeated_anchors(documents, buckets_for(total / 4, TASK_BYTES), length), "flags")
-    found = cut(repeated_windows(documents, flagged, buckets_for(total, TASK_BYTES), length), "windows")
+    flagged, often, strings = repeated_anchors(documents, buckets_for(total / 4, TASK_BYTES), length, frequent)
+    flagged = cut(flagged, "flags")
+    wide = buckets_for(strings * (length - GRAM + 2) / 2 * CHUNK.itemsize, TASK_BYTES)
+    found = cut(repeated_windows(documents, flagged, buckets_for(total, TASK_BYTES), length, often, wide), "windows")
     return removed(documents, found, with_kept)

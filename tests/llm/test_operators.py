@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ from lectern.llm.mixing import apply_mix, flight, mix
 from lectern.llm.packing import pack_documents
 from lectern.llm.secret_scan import Scanner, redact, scan_secrets, secret_digest
 from lectern.llm.sharding import jump_shard, shard_documents
-from lectern.llm.suffix_dedup import suffix_dedup
+from lectern.llm.spans import keyed
+from lectern.llm.suffix_dedup import dealt_strings, repeated_anchors, suffix_dedup
 from lectern.llm.vocabulary import ByteBpe, loaded
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, spans string"
@@ -118,6 +120,23 @@ def test_suffix_dedup(docs, rows):
     assert got == brute_removed(rows)
 
 
+def test_suffix_dedup_deals_frequent_names(spark, docs, rows):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(docs, frequent=3).collect()}
+    assert got == brute_removed(rows)
+    # one line of 90 bytes between ever other neighbours: its strings must not meet in one bucket
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    line = word(90)
+    lined = [(i, word(150) + line + word(150)) for i in range(300)]
+    lined.append((300, lined[7][1]))
+    frame = spark.createDataFrame(lined, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(frame, frequent=50).collect()} == brute_removed(lined)
+    flagged, often, strings = repeated_anchors(keyed(frame, "doc_id", "text"), 12, frequent=50)
+    assert len(often) >= 1 and strings > 250
+    dealt = [len(zstandard.decompress(r.strings)) for r in dealt_strings(keyed(frame, "doc_id", "text"), flagged, 12, often=often, wide=12).groupBy("bucket").agg(F.max("strings").alias("strings")).collect()]
+    assert len(dealt) > 12 and max(dealt) < sum(dealt) / 4
+
+
 def test_chunks(docs, rows):
     seen, want = set(), {}
     for i, t, *_ in rows:
