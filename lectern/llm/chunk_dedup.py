@@ -1,7 +1,9 @@
 """Substring dedup by content-defined chunks: a gear rolling hash cuts, digests find the repeats.
 
-A cut depends on the 32 bytes before it only, so an insertion moves the cuts
-next to it and no others. Chunks go to their digest's bucket packed in arrays,
+Where the hash of the 16 bytes before a place has GEAR_BITS zero bits, a cut may
+lie; the one with the least hash comes first and keeps others LEAST bytes away. So
+cuts hang on the bytes around them, not on the cut before, and two copies of a
+passage fall into step a few dozen bytes from its ends. Chunks go to their digest's bucket packed in arrays,
 each digest once per task; the smallest (document, offset) keeps its chunk.
 """
 
@@ -19,49 +21,58 @@ from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 from ._shared import buckets_for, cut, small_batches, text_bytes
 from .spans import keyed, removed
 
-#: Chunks are at least LEAST bytes, then end where GEAR bits of the hash are zero, at MOST bytes at the latest; an end of fewer than LEAST bytes belongs to the chunk before it.
-LEAST, GEAR_BITS, MOST = 48, 5, 1024
+#: Chunks are at least LEAST bytes and end where GEAR_BITS bits of the hash are zero; stretches without a cut are cut every MOST bytes, and an end of fewer than LEAST bytes belongs to the chunk before it.
+LEAST, GEAR_BITS, MOST = 48, 3, 1024
+REACH = 16
 GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
+#: Makes an order of hashes that share their first bits.
+SPREAD = np.uint32(2654435769)
 SEGMENT = 1 << 20
 CHUNK = np.dtype([("high", "<u8"), ("low", "<u8"), ("doc", "<i8"), ("version", "<i8"), ("start", "<u8"), ("end", "<u8")])
 TASK_BYTES, HELD = 48 << 20, 400_000
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
-    """sum of GEAR[byte i-j] << j over j < 32, modulo 2**32, by doubling the reach."""
+    """sum of GEAR[byte i-j] << 2j over j < REACH, modulo 2**32, by doubling the reach."""
     h, reach = GEAR[data], 1
-    while reach < 32:
+    while reach < REACH:
         more = h.copy()
-        more[reach:] += h[:-reach] << np.uint32(reach)
+        more[reach:] += h[:-reach] << np.uint32(2 * reach)
         h, reach = more, 2 * reach
     return h
 
 
 def cuts(data: bytes, least: int = LEAST, bits: int = GEAR_BITS, most: int = MOST) -> list[int]:
-    """Ends of the chunks of a document; the same bytes after a cut give the same cuts."""
+    """Ends of the chunks of a document; the same bytes around a cut give the same cut."""
     if not data:
         return []
-    found = []
+    places, ranks = [], []
     top = np.uint32(((1 << bits) - 1) << (32 - bits))
     for at in range(0, len(data), SEGMENT):
-        lead = min(at, 31)
+        lead = min(at, REACH - 1)
         part = np.frombuffer(data, dtype=np.uint8, offset=at - lead, count=min(SEGMENT, len(data) - at) + lead)
-        found.append(np.flatnonzero((gear_hash(part) & top)[lead:] == 0) + at + 1)
+        h = gear_hash(part)[lead:]
+        found = np.flatnonzero(h & top == 0)
+        places.append(found + at + 1)
+        ranks.append(h[found] * SPREAD)
+    place = np.concatenate(places)
+    place = place[np.argsort(np.concatenate(ranks), kind="stable")]
+    # 1: no cut may lie here, as one with a smaller hash, the start or the end is too near
+    shut, full = bytearray(len(data) + 1), b"\1" * (2 * least - 1)
+    shut[:least] = shut[max(0, len(data) - least + 1) :] = b"\1" * min(least, len(data) + 1)
+    chosen = []
+    for at in range(0, len(place), SEGMENT):
+        for end in place[at : at + SEGMENT].tolist():
+            if not shut[end]:
+                chosen.append(end)
+                shut[end - least + 1 : end + least] = full
     ends, last = [], 0
-    for end in np.concatenate(found).tolist():
-        while end - last > most:
+    for end in [*sorted(chosen), len(data)]:
+        while end - last >= most + least:
             last += most
             ends.append(last)
-        if end - last >= least:
-            ends.append(end)
-            last = end
-    while len(data) - last > most:
-        last += most
-        ends.append(last)
-    if last < len(data):
-        if ends and len(data) - last < least:
-            ends.pop()
-        ends.append(len(data))
+        ends.append(end)
+        last = end
     return ends
 
 

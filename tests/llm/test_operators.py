@@ -154,6 +154,20 @@ def test_chunks(docs, rows):
     assert sum((b"inserted" + long)[a:b] in moved for a, b in zip([0, *shifted], shifted, strict=False)) > 0.99 * len(shifted)
 
 
+def test_chunks_fall_into_step():
+    rng = random.Random(4)
+    known = ["".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    text = lambda n: " ".join(rng.choices(known, k=n)).encode()
+    chunks = lambda b: [b[s:e] for s, e in zip([0, *cuts(b)], cuts(b), strict=False)]
+    shares = []
+    for _ in range(300):
+        passage = text(51)
+        one, two = (text(rng.randint(10, 120)) + b" " + passage + b" " + text(60) for _ in range(2))
+        seen = set(chunks(one))
+        shares.append(sum(len(c) for c in chunks(two) if c in seen) / len(passage))
+    assert shares.count(0) <= 0.01 * len(shares) and sum(s < 0.5 for s in shares) < 0.22 * len(shares) and np.mean(shares) > 0.6
+
+
 def test_repeated_rows(spark):
     text = " ".join(f"word{k}" for k in range(60))
     frame = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")
