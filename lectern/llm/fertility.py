@@ -30,7 +30,8 @@ class Band:
     least_entropy: float = 0.35
 
 
-#: By language, else by script, else "". Scripts that the vocabulary covers thinly get more bytes and fewer characters a token.
+#: By language, else by script, else "" (no letters). Scripts that the vocabulary covers thinly get more bytes and fewer characters a token;
+#: it has no tokens at all for "other", whose prose is bytes like junk, so only entropy and the upper bound on characters hold there.
 BANDS: dict[str, Band] = {
     "en": Band(least_chars=1.55, most_bytes=0.10),
     "fr": Band(least_chars=1.45, most_bytes=0.12),
@@ -41,12 +42,23 @@ BANDS: dict[str, Band] = {
     "greek": Band(least_chars=0.5, most_bytes=0.6),
     "hebrew": Band(least_chars=0.4, most_bytes=0.9),
     "arabic": Band(least_chars=0.4, most_bytes=0.9),
-    "cjk": Band(least_chars=0.2, most_bytes=1.0),
-    "": Band(least_chars=0.2, most_bytes=1.0),
+    "cjk": Band(least_chars=0.4, most_bytes=0.8),
+    "thai": Band(least_chars=0.55, most_bytes=0.5),
+    **dict.fromkeys(("armenian", "devanagari", "bengali", "tamil", "georgian"), Band(least_chars=0.48, most_bytes=0.6)),
+    **dict.fromkeys(("kannada", "tibetan", "burmese", "khmer"), Band(least_chars=0.43, most_bytes=0.7)),
+    **dict.fromkeys(("telugu", "sinhala"), Band(least_chars=0.4, most_bytes=0.8)),
+    **dict.fromkeys(("gurmukhi", "gujarati", "malayalam", "ethiopic"), Band(least_chars=0.325, most_bytes=0.885)),
+    "other": Band(least_chars=0.2, most_bytes=1.0),
+    "": Band(least_chars=0.4, most_bytes=0.6),
 }
 SYMBOLS = b"#*$%&|<>"
 # First code point after which a script's letters run, up to the next entry.
-SCRIPTS = ((0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, ""), (0x590, "hebrew"), (0x600, "arabic"), (0x780, ""), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, ""), (0x2E80, "cjk"), (0xA4D0, ""), (0xAC00, "cjk"), (0xD7FC, ""), (0x20000, "cjk"))
+SCRIPTS = (
+    (0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x780, "other"), (0x900, "devanagari"), (0x980, "bengali"),
+    (0xA00, "gurmukhi"), (0xA80, "gujarati"), (0xB00, "other"), (0xB80, "tamil"), (0xC00, "telugu"), (0xC80, "kannada"), (0xD00, "malayalam"), (0xD80, "sinhala"), (0xE00, "thai"), (0xE80, "other"),
+    (0xF00, "tibetan"), (0x1000, "burmese"), (0x10A0, "georgian"), (0x1100, "cjk"), (0x1200, "ethiopic"), (0x13A0, "other"), (0x1780, "khmer"), (0x1800, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"),
+    (0x2E80, "cjk"), (0xA4D0, "other"), (0xAC00, "cjk"), (0xD7FC, "other"), (0xF900, "cjk"), (0xFB00, "other"), (0x20000, "cjk"),
+)
 MIN_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
 
 

@@ -290,6 +290,32 @@ def test_quality(docs, rows):
     assert duplicate_lines(b"a\n\na\nb\n \n \na") == 2
 
 
+PROSE = {
+    "thai": "ประเทศไทยเป็นประเทศที่ตั้งอยู่ในเอเชียตะวันออกเฉียงใต้ มีกรุงเทพมหานครเป็นเมืองหลวงและศูนย์กลางการปกครอง ประชาชนส่วนใหญ่นับถือศาสนาพุทธ",
+    "devanagari": "भारत एक विशाल देश है जहाँ अनेक भाषाएँ बोली जाती हैं। यहाँ के लोग विभिन्न धर्मों का पालन करते हैं और त्योहार मिलकर मनाते हैं।",
+    "tamil": "தமிழ் மொழி உலகின் பழமையான மொழிகளில் ஒன்றாகும். இது தமிழ்நாட்டில் பெரும்பாலான மக்களால் பேசப்படுகிறது. சென்னை தமிழ்நாட்டின் தலைநகரம் ஆகும்.",
+    "telugu": "తెలుగు భాష భారతదేశంలో ఎక్కువ మంది మాట్లాడే భాషలలో ఒకటి. హైదరాబాద్ తెలంగాణ రాష్ట్రానికి రాజధాని. ప్రజలు పండుగలను ఆనందంగా జరుపుకుంటారు.",
+    "gujarati": "ગુજરાત ભારતનું એક રાજ્ય છે. ગાંધીનગર તેની રાજધાની છે અને અમદાવાદ સૌથી મોટું શહેર છે. અહીંના લોકો ગુજરાતી ભાષા બોલે છે.",
+    "georgian": "საქართველო მდებარეობს კავკასიის რეგიონში. თბილისი არის ქვეყნის დედაქალაქი და ყველაზე დიდი ქალაქი. ქართულ ენას აქვს თავისი უნიკალური დამწერლობა.",
+    "ethiopic": "ኢትዮጵያ በአፍሪካ ቀንድ የምትገኝ ሀገር ናት። አዲስ አበባ የሀገሪቱ ዋና ከተማ ናት። አማርኛ የሥራ ቋንቋ ሲሆን በብዙ ሰዎች ይነገራል። ብዙ ወንዞችና ተራሮች አሏት።",
+    "chinese": "中国是世界上人口最多的国家之一，拥有悠久的历史和丰富的文化。北京是中国的首都，上海是最大的城市。人们喜欢喝茶，也喜欢吃各种各样的美食。春天来了，公园里开满了花。",
+    "japanese": "日本は東アジアにある島国で、東京が首都です。人々は季節ごとの行事を大切にし、春には桜を見るために公園に集まります。日本料理は世界中で人気があります。",
+    "korean": "옛날 옛적에 깊은 산골에 착한 나무꾼이 홀어머니를 모시고 살았습니다. 어느 날 사슴 한 마리가 뛰어와 숨겨 달라고 했습니다. 나무꾼은 사슴을 나뭇더미 속에 숨겨 주었습니다.",
+    "cherokee": "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ ᎠᏂᏣᎳᎩ ᎤᏂᏬᏂᎯᏍᏗ ᎨᏒᎢ " + " ".join(a + b for a in "ᎠᎦᎭᎳᎹ" for b in "ᏂᏍᏗᏬ"),
+}
+JUNK = {"emoji": (0x1F300, 0x1F5FF), "extension b": (0x20000, 0x2A6D0), "extension a": (0x3400, 0x4DB5), "symbols": (0x2190, 0x2BFF), "private": (0xE000, 0xF8FF), "han": (0x4E00, 0x9FA5), "hangul": (0xAC00, 0xD7A3), "thai": (0xE01, 0xE5B), "devanagari": (0x900, 0x97F), "bengali": (0x980, 0x9FE), "tamil": (0xB82, 0xBD7), "gujarati": (0xA85, 0xACC), "telugu": (0xC05, 0xC56), "kannada": (0xC85, 0xCD6), "malayalam": (0xD05, 0xD57), "sinhala": (0xD85, 0xDF3), "ethiopic": (0x1200, 0x1350), "armenian": (0x531, 0x586), "khmer": (0x1780, 0x17D3), "tibetan": (0xF40, 0xFBC), "burmese": (0x1000, 0x109F), "georgian": (0x10A0, 0x10C5)}
+
+
+def test_byte_junk_of_each_script(spark):
+    rng = random.Random(3)
+    words = {k: t if len(t.split()) >= 20 else " ".join(re.findall(".{1,3}", "".join(t.split()))) for k, t in PROSE.items()}
+    junk = {k: " ".join("".join(chr(rng.randint(*ends)) for _ in range(rng.randint(2, 8))) for _ in range(80)) for k, ends in JUNK.items()}
+    listed = [("prose " + k, t) for k, t in words.items()] + [("junk " + k, t) for k, t in junk.items()]
+    got = quality_measures(spark.createDataFrame(listed, "doc_id string, text string").withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert not [r.doc_id for r in got if r.base_failed]
+    assert [(r.doc_id, r.chars_per_token, r.byte_share) for r in got if r.kept != r.doc_id.startswith("prose")] == []
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
