@@ -177,7 +177,7 @@ def page_bounds(spark, sf_dir):
 
 @query(f"SELECT doc_id, 2 - min(sentence_id) + 1 AS position, max(sentence_id) - min(sentence_id) + 1 AS in_range FROM ({I.SENTENCES}) GROUP BY doc_id")
 def range_positions(spark, sf_dir):
-    bounds = views.page_bounds(_sentences(spark, sf_dir), 1, 1000).withColumn("index", F.lit(2))
+    bounds = views.page_bounds(_sentences(spark, sf_dir), 1).withColumn("index", F.lit(2))
     return views.positions(bounds)
 
 
@@ -194,7 +194,7 @@ def cursor_relocate(spark, sf_dir):
 @query(f"SELECT doc_id, sentence_id, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY sentence_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS remaining_chars FROM ({I.SENTENCES}) WHERE page <= 3")
 def remaining_chars(spark, sf_dir):
     s = _sentences(spark, sf_dir)
-    return views.remaining_chars(s, views.page_bounds(s, 1, 3))
+    return views.remaining_chars(s, views.page_bounds(s, 1))
 
 
 @query("""WITH m AS (SELECT doc_id, floor(n_chars * 40 / 14.0 / 1.5 / 60 + 0.5)::BIGINT AS m FROM documents)

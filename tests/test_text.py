@@ -6,6 +6,7 @@ from lectern.functions import text as T
 from lectern.operators import audio, markdown, speech, views
 from lectern.operators.sentences import chunk_sentence, sentences, split_sentences
 from lectern.operators.text_blocks import text_blocks
+from lectern.plans import registry
 
 
 @pytest.mark.parametrize(
@@ -111,6 +112,12 @@ def test_sentence_rows_and_partitions(spark):
     assert [(r.sentence_id, r.text, r.display) for r in rows[0] if r.doc_id == 3] == [(0, "Paper 3.", "Paper 3"), (1, "Ann Lee.", "Ann Lee"), (2, "We saw 3.3 things.", None), (3, "They were good.", None)]
 
 
+def test_ranges_reach_the_last_page(spark, tmp_path):
+    spark.range(3100).selectExpr("7L conv_id", "id turn", "'user' role", "'four' text").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [(r.doc_id, r.position, r.in_range) for r in registry.range_positions(spark, tmp_path).collect()] == [(7, 3, 3100)]
+    assert {r.sentence_id: r.remaining_chars for r in registry.remaining_chars(spark, tmp_path).collect()} == {i: 4 * (3100 - i) for i in range(3100)}
+
+
 def test_more_options_read_less(spark):
     kinds = spark.createDataFrame([(k,) for k in speech.LABELS], "kind string")
     count = lambda o: kinds.where(speech.default_included(F.col("kind"), o)).count()
