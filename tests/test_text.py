@@ -30,6 +30,13 @@ def test_sentences(text, parts):
     assert split_sentences(text) == parts
 
 
+def test_long_words_are_looked_at_whole():
+    long = "1" + "a" * 250
+    assert split_sentences(long + ".Then it goes.") == [long + ".Then it goes."]
+    assert split_sentences("b" * 250 + ".Then it goes.") == ["b" * 250 + ".", "Then it goes."]
+    assert split_sentences("x.y.Then it. (stops.Then it goes.") == ["x.y.Then it.", "(stops.", "Then it goes."]
+
+
 def test_chunks():
     assert [list(map(len, chunk_sentence(x))) for x in ("a" * 400, "ab " * 200, "x" * 50 + ", " + "y " * 200, "x" * 200 + ", " + "y " * 200)] == [[381, 19], [377, 221], [379, 71], [201, 379, 19]]
 
