@@ -261,8 +261,8 @@ def tts_dedupe(spark, sf_dir):
 
 @query()
 def tts_wav(spark, sf_dir):
-    said = audio.synthesize(_sentences(spark, sf_dir).select("doc_id", "sentence_id", "text"), audio.silent_voice(rate=100))
-    return audio.wav_files(said, rate=100)
+    said = audio.synthesize(_sentences(spark, sf_dir).select("doc_id", "sentence_id", "text"), audio.silent_voice())
+    return audio.wav_files(said)
 
 
 # --- sources and scalar functions ---------------------------------------------------

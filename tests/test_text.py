@@ -107,6 +107,14 @@ def test_wav():
     assert memoryview(data)[44:].cast("h").tolist() == [0, 32767, -32768, 32767, 0, 0]
 
 
+def test_wav_files_at_the_full_rate(spark, tmp_path):
+    clips = spark.createDataFrame([(1, 1, [0.5]), (1, 0, [0.0, 1.0, -1.0]), (2, 0, [2.0])], "doc_id long, sentence_id int, samples array<float>")
+    assert {r.doc_id: bytes(r.wav) for r in audio.wav_files(clips, rate=8).collect()} == {1: audio.wav_bytes([[0, 1, -1], [0.5]], rate=8), 2: audio.wav_bytes([[2.0]], rate=8)}
+    spark.sql("SELECT 7L conv_id, 0L turn, 'user' role, 'fourteen chars' text").write.parquet(f"{tmp_path}/conversations.parquet")
+    wav = bytes(registry.tts_wav(spark, tmp_path).first().wav)
+    assert int.from_bytes(wav[24:28], "little") == 24000 and len(wav) == 44 + 2 * (24000 + 6000)
+
+
 def test_durations(spark):
     rows = spark.createDataFrame([(406,), (420,), (49000,), (50400,), (75600,)], "n long").select(views.reading_time(F.col("n")).alias("l")).collect()
     assert [r.l for r in rows] == ["under a minute", "1 min", "58 min", "1 h 0 min", "1 h 30 min"]
