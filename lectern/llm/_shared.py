@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,17 +21,48 @@ BLANKS = " \t\n\x0b\x0c\r"
 U64 = (1 << 64) - 1
 
 
+class NoSharedFolder(RuntimeError):
+    """spark.checkpoint.dir is unset on a cluster."""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where driver and executors are one process may it be unset (tests); a temporary folder stands in."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def _own_folder(spark: SparkSession):
+    """(file system, folder) of this application's intermediate tables; it goes when the driver's JVM ends."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lectern/{spark.sparkContext.applicationId}")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files, folder
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
+    """A new path for an intermediate table or archive; see release()."""
+    files, folder = _own_folder(spark)
+    files.deleteOnExit(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def intermediates(spark: SparkSession) -> set[str]:
+    """Names of what this application has under its own folder."""
+    files, folder = _own_folder(spark)
+    return {x.getPath().getName() for x in files.listStatus(folder)} if files.exists(folder) else set()
+
+
+def release(spark: SparkSession, keep: set[str] = frozenset()) -> None:
+    """Delete intermediate tables but for `keep`. Only once every result that reads them has been written: a long session need not wait for its end."""
+    files, folder = _own_folder(spark)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for name in intermediates(spark) - set(keep):
+        files.delete(path(folder, name), True)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -57,23 +90,14 @@ def texts_of(batch: pa.RecordBatch, name: str):
         yield i, (value.as_py() or b"")
 
 
-def pieces(batch: pa.RecordBatch, name: str, limit: int = 2 << 20):
-    """Row ranges of a batch with about `limit` bytes of text each; a longer text stands alone."""
-    column = batch.column(name)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
-    start, held = 0, 0
-    for i, size in enumerate(sizes):
-        if held and held + size > limit:
-            yield start, i
-            start, held = i, 0
-        held += size
-    if start < len(sizes):
-        yield start, len(sizes)
+ROWS_PER_BATCH = 2000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 2,000 rows, so that long texts don't pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+def small_rows(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_BATCH) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows, without a copy: what a task makes of a slice is handed on before the next."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def per_text(docs: DataFrame, keep: dict[str, str], text: str, fields: list, make) -> DataFrame:
@@ -81,16 +105,17 @@ def per_text(docs: DataFrame, keep: dict[str, str], text: str, fields: list, mak
 
     make() runs once in each task, so automata and vocabularies are built on the executors.
     """
-    small_batches(docs.sparkSession)
-    chosen = docs.select(*[F.col(old).alias(f"_k_{new}") for new, old in keep.items()], F.col(text).alias("_text"))
+    given = [new for new, old in keep.items() if old == text]  # a text that passes through is sent once
+    chosen = docs.select(*[F.col(old).alias(f"_k_{new}") for new, old in keep.items()], *([] if given else [F.col(text).alias("_text")]))
+    source = f"_k_{given[0]}" if given else "_text"
     kept = [StructField(new, chosen.schema[f"_k_{new}"].dataType) for new in keep]
     schema = StructType(kept + [StructField(n, t) for n, t in fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         f = make()
-        for batch in batches:
-            rows = [f(data) for _, data in texts_of(batch, "_text")]
+        for batch in small_rows(batches):
+            rows = [f(data) for _, data in texts_of(batch, source)]
             columns = [batch.column(i).cast(arrow.field(i).type) for i in range(len(kept))]
             for k in range(len(kept), len(arrow)):
                 columns.append(pa.array([r[k - len(kept)] for r in rows], type=arrow.field(k).type))

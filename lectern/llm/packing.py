@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from ._shared import cut, small_batches, texts_of
+from ._shared import cut, small_rows, texts_of
 from .vocabulary import ByteBpe, loaded
 
 WINDOW, OPEN_WINDOWS, TASKS_PER_GROUP, END_ID = 2048, 16, 64, 1
@@ -98,8 +98,6 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     or empty text is its end id alone; an empty table gives no rows; other
     columns are ignored. All sequences are full but the last of all.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     schema = _schema(chosen.schema["doc_id"].dataType)
     arrow = to_arrow_schema(schema)
@@ -108,7 +106,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def pack(batches):
         task = TaskContext.get().partitionId()
         packer, bpe = Packer(task << 32, window, open_windows), loaded(ByteBpe, vocabulary)
-        for batch in batches:
+        for batch in small_rows(batches):
             keys, done = batch.column(0).to_pylist(), []
             for i, data in texts_of(batch, "_text"):
                 ids = bpe.ids(data.decode("utf-8", "replace")) + end

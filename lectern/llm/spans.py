@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, Struc
 
 import pyarrow as pa
 
-from ._shared import small_batches
+from ._shared import small_rows
 
 SPAN = StructType([StructField("start", LongType()), StructField("end", LongType())])
 #: Order of documents: by id, null last; ids that come with several texts go by the text's hash.
@@ -44,13 +44,13 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(kept) + data[at:]
 
 
-def removed(documents: DataFrame, found: DataFrame, with_kept: bool = False) -> DataFrame:
+def removed(documents: DataFrame, found: DataFrame, with_kept: bool = False, least_run: int = 0) -> DataFrame:
     """keyed() documents and (doc, version, start, end) rows -> doc_id, n_bytes, spans (merged), n_removed, n_spans, kept_sha256, kept (bytes, on demand).
 
     Spans are gathered for a document at a time, so they are bounded by its
-    length. Documents without spans come out whole.
+    length. Documents without spans come out whole; merged runs of fewer than
+    `least_run` bytes stay.
     """
-    small_batches(documents.sparkSession)
     per_doc = found.groupBy("doc", "version").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     joined = documents.join(per_doc, ["doc", "version"], "left").select("doc_id", "text", "found")
     fields = [StructField("doc_id", LongType()), StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_sha256", StringType()), StructField("spans", ArrayType(SPAN))]
@@ -58,10 +58,10 @@ def removed(documents: DataFrame, found: DataFrame, with_kept: bool = False) ->
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in small_rows(batches):
             rows = []
             for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                runs = merged([(s["start"], s["end"]) for s in spans or ()])
+                runs = [(a, b) for a, b in merged([(s["start"], s["end"]) for s in spans or ()]) if b - a >= least_run]
                 kept = without(text, runs)
                 rows.append((doc_id, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in runs], kept)[: len(arrow)])
             if rows:
