@@ -129,6 +129,21 @@ def reverse(tree):
     return tree
 
 
+def shortest(tree):
+    """Without the repetitions at its end: every match begins with a match of this, and every match of this is one."""
+    kind = tree[0]
+    if kind == "times":
+        return ("times", shortest(tree[1]), 1, 1) if tree[2] == 1 else ("times", tree[1], tree[2], tree[2])
+    if kind == "or":
+        return ("or", [shortest(x) for x in tree[1]])
+    if kind == "then":
+        parts = list(tree[1])
+        while parts and parts[-1][0] == "times" and parts[-1][2] == 0:
+            parts.pop()
+        return ("then", [*parts[:-1], *map(shortest, parts[-1:])])
+    return tree
+
+
 def build(nfa: Nfa, tree, start: int) -> int:
     """Add the tree behind `start`; returns its last state."""
     kind = tree[0]

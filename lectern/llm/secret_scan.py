@@ -3,7 +3,10 @@
 The rules are compiled together (see automaton.py) and a text's bytes pass
 through the transition rows once. When a state says that a rule has a match
 ending here, the rule's reversed automaton finds the leftmost start after the
-rule's previous match and its forward automaton the longest end.
+rule's previous match and its forward automaton the longest end. A match that
+the state means may begin inside the previous one; behind a rule's first match
+its own automaton therefore goes along, from event to event, and says whether
+one begins after it. Every byte is read a bounded number of times a rule.
 """
 
 from __future__ import annotations
@@ -17,13 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from ._shared import per_text, small_batches
-from .automaton import compile_rules, parse, reverse
+from ._shared import per_text, small_rows
+from .automaton import compile_rules, parse, reverse, shortest
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Patterns join counted parts sparingly: counters that overlap multiply the combined states.
+    """Patterns count as little as they can: counters that overlap multiply the combined states, `least` costs none.
 
     A match counts if what follows its longest `head` (all of it without one) has `least` bytes; a match that is too short still uses up its bytes.
     """
@@ -40,7 +43,8 @@ ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 BASE_RULES = (
     Rule("assign", ASSIGN + r"[A-Za-z0-9+/_.=\-]+", True, 8, ASSIGN),
     Rule("access", "AKIA[A-Z0-9]+", least=16),
-    Rule("hex", "[0-9a-f]{32,}"),
+    # eight keep prose from raising events; shorter runs fail anyway
+    Rule("hex", "[0-9a-f]{8,}", least=32),
 )
 ADDED_RULES = (
     Rule("private_key", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
@@ -54,10 +58,12 @@ SPAN = StructType([StructField("kind", StringType()), StructField("start", LongT
 
 @lru_cache(maxsize=8)
 def compiled(rules: tuple[Rule, ...]) -> tuple:
-    """The combined automaton, and by rule the forward, reversed and head automata; made on the driver, a few MB."""
+    """The combined automaton, and by rule the searching, forward, reversed and head automata; made on the driver, a few MB."""
     trees = [parse(r.pattern, r.any_case) for r in rules]
+    # that a match ends is all the combined states must tell; how far it goes on is the forward automaton's matter
+    ends = [shortest(t) for t in trees]
     each = [(compile_rules([t], search=False), compile_rules([reverse(t)], search=False), compile_rules([parse(r.head, r.any_case)], search=False) if r.head else None) for r, t in zip(rules, trees, strict=True)]
-    return compile_rules(trees, search=True), *zip(*each, strict=True)
+    return compile_rules(ends, search=True), [compile_rules([t], search=True) for t in ends], *zip(*each, strict=True)
 
 
 class Scanner:
@@ -65,7 +71,7 @@ class Scanner:
 
     def __init__(self, rules: tuple[Rule, ...] = RULES, tables: tuple | None = None) -> None:
         self.rules = rules
-        combined, self.forward, self.backward, self.heads = tables or compiled(rules)
+        combined, self.search, self.forward, self.backward, self.heads = tables or compiled(rules)
         self.classes = combined.classes
         # a row holds the next rows themselves and ends with the rules it accepts: one look-up a byte
         self.rows: list[list] = [[] for _ in combined.rows]
@@ -76,23 +82,31 @@ class Scanner:
     def find(self, data: bytes) -> list[tuple[int, int, int]]:
         found: list[tuple[int, int, int]] = []
         free = [0] * len(self.rules)
+        seen: dict[int, tuple[int, int]] = {}  # rule: bytes that its own automaton has read, and its state
         row = self.rows[0]
         for i, c in enumerate(data.translate(self.classes)):
             row = row[c]
             if row[-1]:
                 for rule in row[-1]:
-                    if i < free[rule]:
+                    if i < free[rule] or (rule in seen and not self._begins_after(rule, seen, data, i + 1)):
                         continue
-                    before = self.backward[rule].longest(data, i, free[rule] - 1, -1)
-                    if before is None:
-                        continue
-                    start = before + 1
+                    start = self.backward[rule].longest(data, i, free[rule] - 1, -1) + 1
                     free[rule] = end = self.forward[rule].longest(data, start, len(data))
+                    seen[rule] = (end, 0)
                     counted = self.heads[rule].longest(data, start, end) if self.heads[rule] else start
                     if end - counted >= self.rules[rule].least:
                         found.append((rule, start, end))
         return sorted(found, key=lambda x: (x[1], x[0]))
 
+    def _begins_after(self, rule: int, seen: dict, data: bytes, stop: int) -> bool:
+        """Whether a match that ends at `stop` begins behind the rule's previous one."""
+        search = self.search[rule]
+        at, state = seen[rule]
+        for c in data[at:stop].translate(search.classes):
+            state = search.rows[state][c]
+        seen[rule] = (stop, state)
+        return bool(search.accepts[state])
+
     def spans(self, data: bytes) -> list[dict]:
         """The same in code points, as rows."""
         found = self.find(data)
@@ -126,16 +140,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with each secret in the text replaced by <kind>, overlapping ones by the first kind; columns and nulls stay as they are."""
-    small_batches(docs.sparkSession)
-    arrow = to_arrow_schema(docs.schema)
+    """docs with each secret in the text replaced by <kind>, overlapping ones by the first kind; columns and nulls stay as they are, an empty table stays empty."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # mapInArrow can't read names with dots
+    arrow = to_arrow_schema(plain.schema)
     at = docs.columns.index(text_col)
 
     tables = compiled(rules)
 
     def run(batches):
         scanner = Scanner(rules, tables)
-        for batch in batches:
+        for batch in small_rows(batches):
             texts = batch.column(at).to_pylist()
             changed = False
             for i, text in enumerate(texts):
@@ -154,7 +168,7 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
                 columns[at] = pa.array(texts, type=arrow.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def secret_digest(found: DataFrame) -> DataFrame:
