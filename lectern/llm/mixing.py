@@ -11,6 +11,8 @@ source land, by the rounding that keeps its tokens nearest the target.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from ._shared import WORD, cut
 
 WEIGHTS = (3, 1, 2)
-SHARE, MOST_COPIES, BLOCK = 1.5, 2.0, 4096
+SHARE, MOST_COPIES, BLOCK, SEED = 1.5, 2.0, 4096, 0
 NEAR = 1e-9
 
 
@@ -49,8 +51,12 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share
     return level.select("source", "source_size", F.coalesce(F.least(found * F.col("weight"), F.col("cap")), F.col("cap"), F.lit(0.0)).alias("target"))
 
 
-def flight(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Moves chances along null vectors of (1, size) until at most two lie strictly between 0 and 1; totals of both stay."""
+def flight(chance: np.ndarray, size: np.ndarray, coin: np.ndarray) -> np.ndarray:
+    """Moves chances along null vectors of (1, size) until at most two lie strictly between 0 and 1; totals of both stay.
+
+    coin: a uniform number in [0, 1) for each document; a move takes the one of
+    the document that joined last.
+    """
     chance = chance.copy()
     scale = size / max(1.0, float(size.max(initial=0)))
     held: list[int] = []
@@ -70,9 +76,8 @@ def flight(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
             if abs(d) > 1e-15:
                 up, down = (1 - chance[i]) / abs(d), chance[i] / abs(d)
                 reach, back = min(reach, up if d > 0 else down), min(back, down if d > 0 else up)
-        # the chance of each way makes the move a martingale; the point itself decides, so reruns agree
-        forward = (int(size[a]) * 2654435761 + k * 40503 + 12345) % 65536 / 65536 < back / (reach + back)
-        move = reach if forward else -back
+        # the chance of each way makes the move a martingale, so each document keeps its expectation
+        move = reach if coin[k] < back / (reach + back) else -back
         for i, d in zip(held, step, strict=True):
             chance[i] += move * d
         left = [i for i in held if NEAR < chance[i] < 1 - NEAR]
@@ -93,11 +98,14 @@ def land(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
     return chance
 
 
-def _decide(last: bool):
+def _decide(last: bool, seed: int, level: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("spot", "ascending"), ("size", "ascending"), ("row", "ascending")])
+        table = table.sort_by([("spot", "ascending"), ("size", "ascending")])
         size = table.column("size").to_numpy().astype(float)
-        chance = flight(table.column("chance").to_numpy(), size)
+        # coins hang on seed, source, level and block alone, so reruns agree
+        name = repr((seed, level, table.column("source")[0].as_py(), table.column("block")[0].as_py())).encode("utf-8", "surrogatepass")
+        coin = np.random.default_rng(int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little")).random(len(size))
+        chance = flight(table.column("chance").to_numpy(), size, coin)
         if last:
             chance = land(chance, size)
         return table.set_column(table.schema.get_field_index("chance"), "chance", pa.array(chance))
@@ -105,34 +113,34 @@ def _decide(last: bool):
     return run
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """One row per document: size, its source's size and target, copies (0, 1 or 2 ...) and taken = copies * size.
 
     A null text has size 0; a null source is a source of its own, last in
     order; sources without words get target 0; an empty table gives no rows;
     other columns are ignored. Rows alike in id and size are interchangeable, so
     they may swap copies without changing the result. Blocks are set by hashes
-    of ids and by counts, so partitions and reruns make no difference.
+    of ids and by counts, so partitions and reruns make no difference; another
+    `seed` draws another mix with the same expectations.
     """
-    seed = F.xxhash64(F.col(id_col), F.col(text_col))
-    base = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), seed.alias("spot")), "sizes")
+    base = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("spot")), "sizes")
     sources = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = source_targets(sources, weights, share, most).join(sources.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = cut(targets.withColumn("due", due).withColumn("whole", F.floor(F.col("due") + NEAR)), "targets")
     largest = targets.agg(F.max("n")).first()[0]
-    columns = "doc_id", "source", "size", "spot", "row", "chance", "block"
+    columns = "doc_id", "source", "size", "spot", "chance", "block"
     # per-source facts ride along: sources are few against documents, and the join splits a hot source
     joined = base.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     chance = F.greatest(F.col("due") - F.col("whole"), F.lit(0.0))
     blocks = F.floor((F.col("n") - 1) / block) + 1
-    level = joined.select("doc_id", "source", "size", "spot", F.lit(0).cast("long").alias("row"), chance.alias("chance"), F.pmod(F.xxhash64("spot"), blocks).alias("block"))
+    level = joined.select("doc_id", "source", "size", "spot", chance.alias("chance"), F.pmod(F.xxhash64("spot", F.lit(seed)), blocks).alias("block"))
     decided = []
     last = False
     while largest is not None:
         count = (largest - 1) // block + 1
         last = count == 1
-        done = cut(level.select(*columns).groupBy("source", "block").applyInArrow(_decide(last), level.schema), "flight")
+        done = cut(level.select(*columns).groupBy("source", "block").applyInArrow(_decide(last, seed, len(decided)), level.schema), "flight")
         if last:
             decided.append(done)
             break
@@ -152,13 +160,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """docs with every row repeated as often as the mix takes it; columns stay as they are."""
-    drawn = mix(docs, id_col, text_col, source_col, **options).select(F.col("doc_id").alias("_id"), "spot", F.col("source").alias("_source"), "copies")
-    # rows alike in id, text and source are matched one to one
-    alike = lambda *c: Window.partitionBy(*c).orderBy(F.lit(0))
-    drawn = drawn.withColumn("_n", F.row_number().over(alike("spot", "_id", "_source")))
-    rows = docs.withColumn("_spot", F.xxhash64(F.col(id_col), F.col(text_col)))
-    rows = rows.withColumn("_m", F.row_number().over(alike("_spot", id_col, source_col)))
-    same = (F.col("_spot") == F.col("spot")) & F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source")) & (F.col("_m") == F.col("_n"))
-    joined = rows.join(drawn.where("copies > 0"), same)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    """docs with every row repeated as often as the mix takes it; columns stay as they are, whatever their names.
+
+    Nulls, empty tables, ties and repeated rows: as in mix(). Rows alike in id,
+    text and source are matched one to one, in any order.
+    """
+    drawn = mix(docs, id_col, text_col, source_col, **options).select("spot", F.col("doc_id").alias("id"), F.col("source").alias("from"), "copies")
+    alike = Window.partitionBy("spot", "id", "from").orderBy(F.lit(0))
+    drawn = drawn.withColumn("place", F.row_number().over(alike)).where("copies > 0")
+    # the row rides in a struct, so that no name of its columns meets one of ours
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole, F.xxhash64(F.col(id_col), F.col(text_col)).alias("spot"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("from"))
+    rows = rows.withColumn("place", F.row_number().over(alike)).alias("r")
+    same = (F.col("r.spot") == F.col("d.spot")) & F.col("r.id").eqNullSafe(F.col("d.id")) & F.col("r.from").eqNullSafe(F.col("d.from")) & (F.col("r.place") == F.col("d.place"))
+    joined = rows.join(drawn.alias("d"), same)
+    return joined.select(F.col("r.row").alias("row"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("d.copies"))).alias("copy")).select("row.*")
