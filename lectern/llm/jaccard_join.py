@@ -1,14 +1,17 @@
 """N-gram Jaccard join with Bayesian pruning (after BayesLSH-Lite, Satuluri and Parthasarathy, 2012).
 
-1. Each text becomes its set of word shingles; texts with one set are one node.
-2. MinHash bands bring together nodes that may be similar; what bands connect,
-   directly or not, is a cluster, found by distributed contraction.
-3. Inside a cluster, in blocks of bounded size, every pair that shares a band
-   has its MinHash values compared a few at a time and is dropped as soon as
-   the posterior probability of reaching the threshold is below `tolerance`.
-4. The pairs left are verified on the shingles themselves.
-
-No pair is ever a row: tasks return counts of links and a spanning forest.
+1. Each text becomes its set of word shingles; texts with one set are one node
+   with a MinHash signature.
+2. Nodes that share a MinHash band are candidates. Signatures, not texts, meet
+   by band; every pair of a band has its values compared a few at a time and is
+   dropped as soon as the posterior probability of reaching the threshold is
+   below `tolerance`. A band with more than `block` nodes isn't compared there:
+   all its nodes stay candidates of each other.
+3. What candidates connect is a cluster, found by distributed contraction. Texts
+   are fetched for clusters only, once for each pair of blocks of their cluster,
+   pruned pair by pair in the same way and verified on the shingles themselves.
+
+No pair is ever a row: tasks return counts of links and spanning forests.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import BinaryType, LongType
 
 from ._shared import cut, per_text
 from .blocks import block_pairs, forest, pair_mask
@@ -31,6 +34,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 TOLERANCE, STEP = 1e-5, 25
 BLOCK = 256
+#: Nodes up to which a band is pruned pair by pair on signatures alone.
+LARGE_BAND = 512
 TASK_BYTES = 16 << 20
 CACHED_WORDS = 300_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -79,18 +84,19 @@ def set_name(values: np.ndarray) -> int | None:
 
 
 def minhash(values: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS minima, in parts so that a long text needs no large matrix."""
+    """The low halves of BANDS * ROWS minima, in parts so that a long text needs no large matrix."""
     best = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(values), 1024):
         part = values[at : at + 1024, None] * _MULTIPLY + _ADD
         best = np.minimum(best, (part ^ (part >> np.uint64(32))).min(axis=0))
-    return best
+    return best.astype(np.uint32)
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each band's values."""
     keys = np.arange(BANDS, dtype=np.uint64) * MIX
     for i in range(ROWS):
-        keys = _mixed(keys + signature.reshape(-1, BANDS, ROWS)[:, :, i] * MIX)
+        keys = _mixed(keys + signatures.reshape(-1, BANDS, ROWS)[:, :, i] * MIX)
     return keys
 
 
@@ -112,14 +118,12 @@ def least_matches(similarity: float, tolerance: float = TOLERANCE, total: int =
     return out
 
 
-def verified_pairs(sets: list[np.ndarray], allowed: np.ndarray, similarity: float, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) among `allowed` with Jaccard >= similarity: banded, pruned in steps, then verified exactly."""
-    signatures = np.array([minhash(s) for s in sets])
+def candidate_pairs(signatures: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, similarity: float, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) among `allowed` that share a band, whose sizes permit the similarity and whose values, compared in steps, never make it improbable."""
     keys = band_keys(signatures)
     near = np.zeros(allowed.shape, dtype=bool)
     for band in range(BANDS):
         near |= keys[:, band][:, None] == keys[:, band][None, :]
-    sizes = np.array([len(s) for s in sets])
     i, j = np.nonzero(near & allowed)
     fits = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-9
     i, j = i[fits], j[fits]
@@ -130,6 +134,12 @@ def verified_pairs(sets: list[np.ndarray], allowed: np.ndarray, similarity: floa
             matches[k] += (signatures[i[k], at : at + STEP] == signatures[j[k], at : at + STEP]).sum(axis=1)
         alive = matches >= need[min(at + STEP, BANDS * ROWS)]
         i, j, matches = i[alive], j[alive], matches[alive]
+    return i, j
+
+
+def verified_pairs(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) whose Jaccard similarity on the shingles is `similarity` or more."""
+    sizes = np.array([len(s) for s in sets])
     if not len(i):
         return i, j
     # common shingles of all pairs at once: products of presence columns, a slice of the vocabulary at a time
@@ -155,20 +165,47 @@ def verified_pairs(sets: list[np.ndarray], allowed: np.ndarray, similarity: floa
     return i[close], j[close]
 
 
+def _signatures(rows: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), dtype="<u4").reshape(-1, BANDS * ROWS)
+
+
+def _pruner(similarity: float):
+    """(key, node, n_shingles, signature) rows of some bands -> (u, v): a forest of the pairs that survive."""
+
+    def prune(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "node"])
+        node, sizes, signatures = rows["node"].to_numpy(), rows["n_shingles"].to_numpy(), _signatures(rows["signature"])
+        edges = np.flatnonzero(np.diff(rows["key"].to_numpy())) + 1
+        low_nodes, high_nodes = [], []
+        for start, stop in zip([0, *edges], [*edges, len(node)], strict=True):
+            n = stop - start
+            i, j = candidate_pairs(signatures[start:stop], sizes[start:stop], pair_mask(np.zeros(n), True), similarity)
+            low, high = forest(i, j, n)
+            low_nodes.append(node[start:stop][low])
+            high_nodes.append(node[start:stop][high])
+        return pd.DataFrame({"u": np.concatenate(low_nodes), "v": np.concatenate(high_nodes)}).drop_duplicates()
+
+    return prune
+
+
 def _linker(words: int, similarity: float):
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         counted = {}
         pairs = []
         for (_cluster, a, b), part in rows.groupby(["cluster", "a", "b"], sort=False):
-            sets = [shingles((t or "").encode("utf-8", "surrogatepass"), words) for t in part["text"]]
             # rows may repeat: each node counts once
-            own = {n: k for k, n in enumerate(part["node"])}
-            order = [own[n] for n in sorted(own)]
-            part, sets = part.iloc[order], [sets[k] for k in order]
+            part = part.drop_duplicates("node").sort_values("node")
             if len(part) < 2:
                 continue
             node, weight = part["node"].to_numpy(), part["weight"].to_numpy()
-            i, j = verified_pairs(sets, pair_mask(part["side"].to_numpy(), a == b), similarity)
+            i, j = candidate_pairs(_signatures(part["signature"]), part["n_shingles"].to_numpy(), pair_mask(part["side"].to_numpy(), a == b), similarity)
+            if not len(i):
+                continue
+            used = np.union1d(i, j)
+            sets = [np.empty(0, dtype=np.uint64)] * len(part)
+            for k in used:
+                sets[k] = shingles((part["text"].iloc[k] or "").encode("utf-8", "surrogatepass"), words)
+            i, j = verified_pairs(sets, i, j, similarity)
             for x, y in ((i, j), (j, i)):
                 links = np.bincount(x, weights=weight[y], minlength=len(node)).astype(np.int64)
                 for k in np.flatnonzero(links):
@@ -181,6 +218,20 @@ def _linker(words: int, similarity: float):
     return link
 
 
+def candidates(nodes: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(node, n_shingles, signature) -> (u, v) pairs that connect whatever may be similar."""
+    width = 4 * ROWS
+    keys = F.posexplode(F.array(*[F.xxhash64(F.substring("signature", band * width + 1, width), F.lit(band)) for band in range(BANDS)])).alias("band", "key")
+    banded = nodes.select("node", keys).select("node", "key")
+    shared = cut(banded.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
+    members = cut(banded.join(shared, "key"), "banded")
+    large = members.where((F.col("n") > block) & (F.col("node") != F.col("leader"))).select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
+    small = members.where(F.col("n") <= block)
+    tasks = max(12, math.ceil(small.count() * (BANDS * ROWS * 4 + 100) / TASK_BYTES))
+    met = small.select("key", "node").hint("merge").join(nodes.select("node", "n_shingles", "signature"), "node").withColumn("task", F.pmod("key", F.lit(tasks)))
+    return large.unionByName(met.groupBy("task").applyInPandas(_pruner(similarity), "u long, v long"))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """One row per document: class_id (smallest id its links reach), n_links (other documents linked directly), kept (first of its class), node.
 
@@ -198,25 +249,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = shingles(data, words)
             if not len(found):
                 return None, 0, None
-            return set_name(found), len(found), band_keys(minhash(found))[0].view(np.int64)
+            return set_name(found), len(found), minhash(found).astype("<u4").tobytes()
 
         return sketch
 
-    fields = [("node", LongType()), ("n_shingles", LongType()), ("keys", ArrayType(LongType()))]
+    fields = [("node", LongType()), ("n_shingles", LongType()), ("signature", BinaryType())]
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("version"))
     sketches = cut(per_text(named, {"doc_id": "doc_id", "version": "version"}, "text", fields, make), "sketches")
-    nodes = cut(sketches.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "version")).alias("rep"), F.count(F.lit(1)).alias("weight"), F.max("n_shingles").alias("n_shingles"), F.any_value("keys").alias("keys")), "nodes")
-    banded = nodes.select("node", F.explode("keys").alias("key"))
-    leaders = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "leader")
-    edges = banded.join(leaders, "key").where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
-    clusters = components(edges).select("node", F.col("root").alias("cluster"))
-    members = nodes.select("node", "rep", "weight", "n_shingles").join(clusters, "node")
+    nodes = cut(sketches.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "version")).alias("rep"), F.count(F.lit(1)).alias("weight"), F.max("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature")), "nodes")
+    clusters = components(candidates(nodes, similarity, max(block, LARGE_BAND))).select("node", F.col("root").alias("cluster"))
+    members = nodes.select("node", "rep", "weight", "n_shingles", "signature").join(clusters, "node")
     units = cut(block_pairs(members, ["cluster"], "node", block), "units")
-    held = units.agg(F.sum(F.col("n_shingles") * 8 + 100)).first()[0] or 0
+    held = units.agg(F.sum(F.col("n_shingles") * 8 + BANDS * ROWS * 4 + 100)).first()[0] or 0
     task = F.pmod(F.xxhash64("cluster", "a", "b"), F.lit(max(12, math.ceil(held / TASK_BYTES))))
     same = units["rep"]["version"].eqNullSafe(named["version"]) & units["rep"]["doc_id"].eqNullSafe(named["doc_id"])
     # always shuffled: the units grow with the data, so their broadcast must not be a matter of size
-    texts = units.hint("merge").join(named, same).select("cluster", "a", "b", "side", "node", "weight", "text", task.alias("task"))
+    texts = units.hint("merge").join(named, same).select("cluster", "a", "b", "side", "node", "weight", "n_shingles", "signature", "text", task.alias("task"))
     found = cut(texts.groupBy("task").applyInPandas(_linker(words, similarity), "node long, links long, other long"), "links")
     links = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v")))
@@ -232,8 +280,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each class: the smallest id, of several texts under it the smallest hash, of repeated rows any one."""
-    kept = jaccard_join(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
-    versioned = docs.withColumn("_version", F.xxhash64(F.col(text_col)))
-    joined = versioned.join(kept.withColumnRenamed("_version", "_v"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")))
-    return joined.dropDuplicates([id_col, "_version"]).select(docs.columns)
+    """docs with one document of each class: the smallest id, of several texts under it the smallest hash, of repeated rows any one.
+
+    Columns stay as they are, whatever their names. Texts without a word, null
+    ones included, are classes of their own; an empty table stays empty.
+    """
+    kept = jaccard_join(docs, id_col, text_col, **options).where("kept").select("doc_id", "version").distinct().alias("k")
+    # the row rides in a struct, so that no name of its columns meets one of ours
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("version")).alias("r")
+    joined = rows.join(kept, F.col("r.id").eqNullSafe(F.col("k.doc_id")) & (F.col("r.version") == F.col("k.version")))
+    return joined.select("r.row", "r.id", "r.version").dropDuplicates(["id", "version"]).select("row.*")
