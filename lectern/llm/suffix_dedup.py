@@ -7,18 +7,24 @@ each of seven offsets, so only a sample takes part, and nothing is lost by it:
 1. Names of 1, 2, 4, ... 32 bytes are doubled at every position, locally: equal
    names are equal ranks. Of the 69 names inside a window of 100 bytes the least
    is the window's anchor. Equal windows have equal anchors at equal offsets.
-2. Spark brings the anchors' names together. Unique ones leave, and with them
-   all their windows; the others come back as one bit an anchor.
-3. Anchors left are ranked again at the full length: the bytes of all windows
-   of an anchor (at most 168) go to its name's bucket, are sorted by document
-   and place, and whole strings, then single windows, are held against the
-   first that is equal. The comparison is of bytes, not of hashes.
-
-Names move packed, once per block of documents, so a passage that a third of
-all documents holds costs one entry a block in step 2. In step 3 the strings of
-a name that occurs more than FREQUENT times, such as one line between ever other
-neighbours, are dealt by their own bytes instead: window by window, to the
-bucket of the window's digest of 128 bits, each digest once per task.
+2. First round in Spark: the anchors' names of 32 bytes are sorted and counted.
+   Unique ones leave, and with them all their windows.
+3. Second round, at an offset of 32: of the anchors left, pairs of the name and
+   the name of the 32 bytes behind it (for windows that reach there) or before
+   it (for the others) are sorted and counted; unique pairs leave with the
+   windows they stand for.
+4. Last round, past the threshold: the bytes of the windows left of an anchor
+   (at most 168) go to its name's bucket, are sorted by document and place, and
+   whole strings, then single windows, are held against the first that is
+   equal. The comparison is of bytes, not of hashes.
+
+Names move packed, once per block of documents, and come back as bits, so a
+passage that a third of all documents holds costs one entry a block in a round.
+In step 4 the strings of a name that occurs more than FREQUENT times, such as
+one line between ever other neighbours, are dealt by their own bytes instead:
+window by window, to the bucket of the window's digest of 128 bits, each digest
+once per task. A window that repeats the one a period before it, as in long runs
+of one character or line, is settled where it stands and goes through no round.
 """
 
 from __future__ import annotations
@@ -35,13 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from ._shared import buckets_for, cut, small_batches, text_bytes
+from ._shared import buckets_for, cut, small_rows, text_bytes
 from .chunk_dedup import CHUNK, _first_of
 from .spans import keyed, removed
 
 LENGTH, GRAM = 100, 32
 INDEX_BITS = 21
 SEGMENT = 1 << 20
+#: Longest period that is looked for.
+MOST_PERIOD = 4096
 BLOCK_ANCHORS = 1 << 18
 TASK_BYTES = 24 << 20
 #: Strings of one name that are still compared in one task, some 16 KB of memory each; windows that a task holds before it deals them.
@@ -61,10 +69,26 @@ def doubled_names(data: np.ndarray) -> np.ndarray:
     return names
 
 
-def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: (name, anchor, first window, last window), positions in the document."""
+def _periodic(part: np.ndarray, names: np.ndarray, chosen: np.ndarray, length: int) -> np.ndarray:
+    """Which windows equal the window a period before them. Periods are looked for where neighbouring anchors have one name; missing one costs time only."""
+    again = np.zeros(len(chosen), dtype=bool)
+    spot = chosen[np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))]
+    gaps = np.diff(spot)[names[spot[1:]] == names[spot[:-1]]]
+    periods, counts = np.unique(gaps[gaps <= MOST_PERIOD], return_counts=True)
+    for p in periods[counts >= 3][np.argsort(-counts[counts >= 3], kind="stable")[:8]].tolist():
+        differ = np.concatenate([[0], np.cumsum(part[p:] != part[:-p], dtype=np.int32)])
+        again[p:] |= differ[length : length + len(again) - p] == differ[: len(again) - p]
+    return again
+
+
+def anchors(data: bytes, length: int = LENGTH) -> tuple[tuple[np.ndarray, ...], list[tuple[int, int]]]:
+    """Runs of windows with one anchor: (name, name behind, name before, anchor, first window, last window), positions in the document; and the spans of windows settled as periodic.
+
+    The names behind and before are of 32 bytes each, cut to 31 bits and never
+    0; 0 where no window of the run reaches so far.
+    """
     span = length - GRAM + 1
-    parts = []
+    parts, settled = [], []
     for at in range(0, max(0, len(data) - length + 1), SEGMENT):
         part = np.frombuffer(data, dtype=np.uint8, offset=at, count=min(SEGMENT + length - 1, len(data) - at))
         names = doubled_names(part)
@@ -75,12 +99,21 @@ def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
         if reach < span:
             least = np.minimum(least[: len(least) - (span - reach)], least[span - reach :])
         chosen = (least & low).astype(np.int64)
-        start = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
-        last = np.concatenate([start[1:], [len(chosen)]]) - 1
-        parts.append((names[chosen[start]], chosen[start] + at, start + at, last + at))
+        again = _periodic(part, names, chosen, length)
+        if again.any():
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], again.view(np.int8), [0]])))
+            settled += [(s + at, e + at + length - 1) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+        window = np.flatnonzero(~again)
+        spot = chosen[window]
+        new = np.flatnonzero(np.concatenate([[True], (spot[1:] != spot[:-1]) | (np.diff(window) > 1)]))
+        first, last = window[new], window[np.append(new[1:], len(window)) - 1]
+        spot = spot[new]
+        behind, before = spot - last <= (span - 1) // 2, spot - first > (span - 1) // 2
+        half = lambda place, there: np.where(there, (names[np.where(there, place, 0)] >> np.uint64(33)) | np.uint64(1), 0).astype("<u4")  # noqa: E731, B023
+        parts.append((names[spot], half(spot + GRAM, behind), half(spot - GRAM, before), spot + at, first + at, last + at))
     if not parts:
-        return (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        return (np.empty(0, np.uint64), *[np.empty(0, "<u4")] * 2, *[np.empty(0, np.int64)] * 3), []
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)), settled
 
 
 def _batches_of(columns: list, types: list, names: list[str]) -> pa.RecordBatch:
@@ -88,30 +121,40 @@ def _batches_of(columns: list, types: list, names: list[str]) -> pa.RecordBatch:
 
 
 DOC = np.dtype([("doc", "<i8"), ("version", "<i8"), ("anchors", "<i8")])
+SPANS = np.dtype([("doc", "<i8"), ("version", "<i8"), ("start", "<i8"), ("end", "<i8")])
+SPAN_COLUMNS = "doc long, version long, start long, end long"
 
 
 def _named_blocks(documents: DataFrame, length: int) -> DataFrame:
-    """(block, docs, names): the anchors' names of some documents in order."""
+    """(block, docs, names, behind, before, settled): the anchors' names of some documents in order, and the spans that are settled already."""
+    binary = ("docs", "names", "behind", "before", "settled")
 
     def run(batches):
         task, held, names, count, done = TaskContext.get().partitionId(), [], [], 0, 0
-        for batch in batches:
+        settled: list = []
+
+        def flush():
+            packed = [np.array(held, dtype=DOC), *(np.concatenate(x) for x in zip(*names, strict=True)), np.array(settled, dtype=SPANS)]
+            return _batches_of([[task << 32 | done], *([x.tobytes()] for x in packed)], [pa.int64(), *[pa.binary()] * 5], ["block", *binary])
+
+        for batch in small_rows(batches):
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True)
             for doc, version, text in rows:
                 data = text.as_py()
                 if len(data) < length:
                     continue
-                found = anchors(data, length)[0]
-                held.append((doc, version, len(found)))
-                names.append(found)
-                count += len(found)
+                found, spans = anchors(data, length)
+                settled += [(doc, version, start, end) for start, end in spans]
+                held.append((doc, version, len(found[0])))
+                names.append(found[:3])
+                count += len(found[0])
                 if count >= BLOCK_ANCHORS:
-                    yield _batches_of([[task << 32 | done], [np.array(held, dtype=DOC).tobytes()], [np.concatenate(names).tobytes()]], [pa.int64(), pa.binary(), pa.binary()], ["block", "docs", "names"])
-                    held, names, count, done = [], [], 0, done + 1
+                    yield flush()
+                    held, names, settled, count, done = [], [], [], 0, done + 1
         if held:
-            yield _batches_of([[task << 32 | done], [np.array(held, dtype=DOC).tobytes()], [np.concatenate(names).tobytes()]], [pa.int64(), pa.binary(), pa.binary()], ["block", "docs", "names"])
+            yield flush()
 
-    schema = StructType([StructField("block", LongType()), StructField("docs", BinaryType()), StructField("names", BinaryType())])
+    schema = StructType([StructField("block", LongType()), *[StructField(n, BinaryType()) for n in binary]])
     return documents.select("doc", "version", "text").mapInArrow(run, schema)
 
 
@@ -126,14 +169,24 @@ def _dealt(names: np.ndarray, buckets: int):
     return distinct[order], where[back], counts[order], numbers, np.append(edges, len(order))
 
 
-def repeated_anchors(documents: DataFrame, buckets: int, length: int = LENGTH, frequent: int = FREQUENT) -> tuple[DataFrame, np.ndarray, int]:
-    """(doc, version, flags): for documents with any, which of their anchors have a name that occurs again somewhere, as packed bits; the sorted names that occur more than `frequent` times; how often these occur in all."""
-    blocks = cut(_named_blocks(documents, length), "names")
+def _names(packed) -> np.ndarray:
+    return np.frombuffer(packed.as_py(), dtype="<u8")
+
+
+def _round(blocks: DataFrame, buckets: int, frequent: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """One round over (block, names): names meet by bucket, are sorted and counted.
+
+    Returns (block, answers: bits of which are repeated, by bucket), and (often,
+    strings): the names that occur more than `frequent` times, and how often in all.
+    """
 
     def deal(batches):
         for batch in batches:
             for block, names in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                distinct, _, times, numbers, edges = _dealt(np.frombuffer(names.as_py(), dtype="<u8"), buckets)
+                names = _names(names)
+                if not len(names):
+                    continue
+                distinct, _, times, numbers, edges = _dealt(names, buckets)
                 cells = list(zip(edges[:-1], edges[1:], strict=True))
                 more = [times[a:b][times[a:b] > 1].astype("<u4").tobytes() for a, b in cells]
                 yield _batches_of([numbers, [block] * len(cells), [distinct[a:b].tobytes() for a, b in cells], [np.packbits(times[a:b] > 1).tobytes() for a, b in cells], more], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], ["bucket", "block", "names", "multiple", "times"])
@@ -147,30 +200,62 @@ def repeated_anchors(documents: DataFrame, buckets: int, length: int = LENGTH, f
         counts = np.bincount(back, weights=times).astype(np.int64)
         again = counts[back] > 1
         edges = np.cumsum([0, *map(len, parts)])
-        often = counts > frequent
         answer = {"block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "again": [np.packbits(again[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], "often": None, "strings": 0}
+        often = counts > (frequent or np.inf)
         found = {"block": [-1], "bucket": [-1], "again": [None], "often": [distinct[often].tobytes()], "strings": [int(counts[often].sum())]}
         return pd.concat([pd.DataFrame(answer), pd.DataFrame(found)]) if often.any() else pd.DataFrame(answer)
 
-    dealt = blocks.select("block", "names").mapInArrow(deal, "bucket int, block long, names binary, multiple binary, times binary")
+    dealt = blocks.mapInArrow(deal, "bucket int, block long, names binary, multiple binary, times binary")
     counted = cut(dealt.groupBy("bucket").applyInPandas(count, "block long, bucket int, again binary, often binary, strings long"), "answers")
-    answers = counted.where("block >= 0").select("block", "bucket", "again")
-    per_block = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "again"))).alias("answers"))
+    answers = counted.where("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "again"))).alias("answers"))
+    return answers, counted.where("block < 0").select("often", "strings")
+
+
+def _answered(names: np.ndarray, answers, buckets: int) -> np.ndarray:
+    """Which of the names that a block had dealt are repeated."""
+    if not len(names):
+        return np.zeros(0, dtype=bool)
+    _, where, _, _, edges = _dealt(names, buckets)
+    again = np.concatenate([np.unpackbits(np.frombuffer(x["again"], dtype=np.uint8), count=b - a) for x, a, b in zip(answers.as_py(), edges[:-1], edges[1:], strict=True)])
+    return again[where] > 0
+
+
+def repeated_anchors(blocks: DataFrame, buckets: int, frequent: int = FREQUENT) -> tuple[DataFrame, np.ndarray, int]:
+    """(doc, version, flags): for documents with any, which of their anchors are repeated with what is behind them, and which with what is before, as packed bits; the sorted names that occur more than `frequent` times; how often these occur in all."""
+    first, many = _round(blocks.select("block", "names"), buckets, frequent)
+    # few: a name for more than `frequent` strings
+    often = many.collect()
+
+    def pair(batches):
+        for batch in batches:
+            for block, docs, names, behind, before, answers in zip(*batch.columns, strict=True):
+                names = _names(names)
+                again = _answered(names, answers, buckets)
+                sides = [np.frombuffer(x.as_py(), dtype="<u4").astype(np.uint64) for x in (behind, before)]
+                masks = [again & (x > 0) for x in sides]
+                # the side is part of the pair: it says at which offset the second name stands
+                pairs = np.concatenate([(names[m] * FACTORS[k] + x[m]) * FACTORS[k + 2] for k, (m, x) in enumerate(zip(masks, sides, strict=True))])
+                if len(pairs):
+                    pairs ^= pairs >> np.uint64(29)
+                    yield _batches_of([[block.as_py()], [docs.as_py()], [np.packbits(masks).tobytes()], [pairs.tobytes()]], [pa.int64(), *[pa.binary()] * 3], ["block", "docs", "masks", "names"])
+
+    left = blocks.join(first, "block").select("block", "docs", "names", "behind", "before", "answers")
+    left = cut(left.mapInArrow(pair, "block long, docs binary, masks binary, names binary"), "pairs")
+    second, _ = _round(left.select("block", "names"), buckets)
 
     def flag(batches):
         for batch in batches:
-            for docs, names, answers in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                docs, names = np.frombuffer(docs.as_py(), dtype=DOC), np.frombuffer(names.as_py(), dtype="<u8")
-                _, where, _, numbers, edges = _dealt(names, buckets)
-                again = np.concatenate([np.unpackbits(np.frombuffer(x["again"], dtype=np.uint8), count=b - a) for x, a, b in zip(answers.as_py(), edges[:-1], edges[1:], strict=True)])
-                flags, ends = again[where], np.cumsum(docs["anchors"])
+            for docs, masks, names, answers in zip(*batch.columns, strict=True):
+                docs, names = np.frombuffer(docs.as_py(), dtype=DOC), _names(names)
+                ends = np.cumsum(docs["anchors"])
+                flags = np.unpackbits(np.frombuffer(masks.as_py(), dtype=np.uint8), count=2 * ends[-1])
+                flags[flags > 0] = _answered(names, answers, buckets)
+                flags = flags.reshape(2, -1).T
                 some = [(d["doc"], d["version"], np.packbits(flags[e - d["anchors"] : e]).tobytes()) for d, e in zip(docs, ends, strict=True) if flags[e - d["anchors"] : e].any()]
                 if some:
                     yield _batches_of(list(zip(*some, strict=True)), [pa.int64(), pa.int64(), pa.binary()], ["doc", "version", "flags"])
 
-    flagged = blocks.join(per_block, "block").select("docs", "names", "answers").mapInArrow(flag, "doc long, version long, flags binary")
-    # few: a name for more than `frequent` strings
-    often = counted.where("block < 0").select("often", "strings").collect()
+    flagged = left.join(second, "block").select("docs", "masks", "names", "answers").mapInArrow(flag, "doc long, version long, flags binary")
     return flagged, np.sort(np.frombuffer(b"".join(r.often for r in often), dtype="<u8")), sum(r.strings for r in often)
 
 
@@ -218,13 +303,16 @@ def dealt_strings(documents: DataFrame, flagged: DataFrame, buckets: int, length
     def strings(batches):
         windows: list[tuple] = []
         task = TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in small_rows(batches):
             held: dict[int, list[bytes]] = {}
             for doc, version, text, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
                 data = text.as_py()
-                names, anchor, first, last = anchors(data, length)
-                flags = np.unpackbits(np.frombuffer(bits.as_py(), dtype=np.uint8), count=len(names)) > 0
-                many = np.isin(names, often)
+                (names, _, _, anchor, first, last), _ = anchors(data, length)
+                both = np.unpackbits(np.frombuffer(bits.as_py(), dtype=np.uint8), count=2 * len(names)).reshape(-1, 2) > 0
+                flags, many = both.any(axis=1), np.isin(names, often)
+                # windows whose side of the anchor is unique have left
+                reach = (length - GRAM) // 2
+                first, last = np.where(both[:, 1], first, np.maximum(first, anchor - reach)), np.where(both[:, 0], last, np.minimum(last, anchor - reach - 1))
                 for f, e in zip(first[flags & many].tolist(), last[flags & many].tolist(), strict=True):
                     for at in range(f, e + 1):
                         digest = hashlib.blake2b(data[at : at + length], digest_size=16).digest()
@@ -304,7 +392,7 @@ def repeated_windows(documents: DataFrame, flagged: DataFrame, buckets: int, len
         return pd.DataFrame(np.array(kept, dtype=np.int64).reshape(-1, 4), columns=["doc", "version", "start", "end"])
 
     dealt = dealt_strings(documents, flagged, buckets, length, often, wide)
-    return dealt.groupBy("bucket").applyInPandas(settle, "doc long, version long, start long, end long")
+    return dealt.groupBy("bucket").applyInPandas(settle, SPAN_COLUMNS)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_kept: bool = False, frequent: int = FREQUENT) -> DataFrame:
@@ -316,13 +404,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     document and share its spans; a null id comes after all others; an empty
     table gives no rows; other columns are ignored.
     """
-    if not GRAM < length <= GRAM + 100:
-        raise ValueError(f"length must be {GRAM + 1} to {GRAM + 100}")
-    small_batches(docs.sparkSession)
+    if not 3 * GRAM - 1 <= length <= GRAM + 100:
+        raise ValueError(f"length must be {3 * GRAM - 1} to {GRAM + 100}")
     documents = keyed(docs, id_col, text_col)
     total = text_bytes(documents, "text")
-    flagged, often, strings = repeated_anchors(documents, buckets_for(total / 4, TASK_BYTES), length, frequent)
+    blocks = cut(_named_blocks(documents, length), "names")
+    flagged, often, strings = repeated_anchors(blocks, buckets_for(total / 4, TASK_BYTES), frequent)
     flagged = cut(flagged, "flags")
     wide = buckets_for(strings * (length - GRAM + 2) / 2 * CHUNK.itemsize, TASK_BYTES)
     found = cut(repeated_windows(documents, flagged, buckets_for(total, TASK_BYTES), length, often, wide), "windows")
-    return removed(documents, found, with_kept)
+
+    def unpack(batches):
+        for batch in batches:
+            spans = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=SPANS)
+            yield _batches_of([spans[n] for n in SPANS.names], [pa.int64()] * 4, list(SPANS.names))
+
+    settled = blocks.where("length(settled) > 0").select("settled").mapInArrow(unpack, SPAN_COLUMNS)
+    return removed(documents, found.unionByName(settled), with_kept)
