@@ -1,9 +1,10 @@
 """WARC archives: one gzip member per record, and a sequential reader.
 
-Spark's text writer puts the archives into any file system: a row is a record's
-gzip member as it is, and the line separator is an empty gzip member, which
-readers pass over. Files come back whole through binaryFile, so
-`records_per_file` bounds what a reading task holds.
+Spark's text writer puts the archives into any file system: a row is an archive,
+gzip members one after another, and makes a file of its own; the line separator
+is an empty gzip member, which readers pass over. A row is closed before it
+would exceed `bytes_per_file`, so a file holds that much or one record. Files
+come back through binaryFile and are read member by member without a copy.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from ._shared import fresh_path, small_batches
+from ._shared import fresh_path, small_rows
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -28,7 +29,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 ARCHIVED_AT = "2024-01-01T00:00:00Z"
 #: A gzip member without content; between records, so that rows need no line end.
 EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003") + bytes.fromhex("03000000000000000000")
-RECORDS_PER_FILE = 5000
+RECORDS_PER_FILE, BYTES_PER_FILE = 5000, 16 << 20
 
 
 class WarcError(ValueError):
@@ -61,8 +62,8 @@ def make_record(page_id, url: str | None, payload: bytes, digest: str, refers_to
 
 
 def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
-    """The content of each gzip member in turn; the input is fed in steps, and what a member leaves begins the next."""
-    at, rest = 0, b""
+    """The content of each gzip member in turn; the input (bytes or a view of them) is fed in steps, and what a member leaves begins the next."""
+    data, at, rest = memoryview(data), 0, b""
     while at < len(data) or rest:
         inflate, out = zlib.decompressobj(31), []
         while not inflate.eof:
@@ -105,7 +106,7 @@ def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             yield parse_record(member)
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, records_per_file: int = RECORDS_PER_FILE, bytes_per_file: int = BYTES_PER_FILE) -> None:
     """A record per row. Among payloads of at least `least` bytes that are equal, rows with the smallest id are responses, the others revisit it.
 
     A null payload is empty; a null id is larger than any, and rows that have
@@ -118,20 +119,26 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     marked = hashed.join(firsts, "sha", "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("size") >= least), F.col("first"))
     rows = marked.select("page_id", "url", "html", "sha", refers.alias("refers_to"))
-    small_batches(pages.sparkSession)
     schema = StructType([StructField("member", BinaryType())])
 
     def run(batches):
-        for batch in batches:
-            out = []
+        held, size = [], 0
+        archive = lambda: pa.RecordBatch.from_arrays([pa.array([EMPTY_MEMBER.join(held)], type=pa.binary())], names=["member"])
+        for batch in small_rows(batches, 200):
             for page_id, url, html, sha, refers_to in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 payload = html.encode("utf-8", "surrogatepass")
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                out.append(make_record(page_id, url, payload, digest, refers_to))
-            yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary())], names=["member"])
+                member = make_record(page_id, url, payload, digest, refers_to)
+                if held and (len(held) == records_per_file or size + len(member) > bytes_per_file):
+                    yield archive()
+                    held, size = [], 0
+                held.append(member)
+                size += len(member) + len(EMPTY_MEMBER)
+        if held:
+            yield archive()
 
     made = rows.mapInArrow(run, schema).select(F.col("member").cast("string").alias("value"))
-    made.write.option("maxRecordsPerFile", records_per_file).option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
+    made.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
 
 
 FOUND = StructType([StructField("page_id", LongType()), StructField("url", StringType()), StructField("payload_bytes", LongType()), StructField("payload_digest", StringType()), StructField("record_type", StringType()), StructField("refers_to", LongType()), StructField("payload", BinaryType())])
@@ -140,24 +147,35 @@ FOUND = StructType([StructField("page_id", LongType()), StructField("url", Strin
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """One row per record of all archives under path; a revisit's payload bytes come from its kept HTTP header. A damaged record fails the read."""
     arrow = to_arrow_schema(FOUND)
+    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     def run(batches):
         for batch in batches:
             for data in batch.column(0):
                 rows = []
-                for fields, block in read_records(data.as_py()):
+                for fields, block in read_records(data.as_buffer()):
+                    if len(rows) == 2000:
+                        yield pack(rows)
+                        rows = []
                     http, _, payload = block.partition(b"\r\n\r\n")
                     lengths = [x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
                     number = lambda k: int(fields[k]) if k in fields else None  # noqa: E731, B023
                     rows.append((number("x-page"), fields.get("warc-target-uri"), int(lengths[0]) if lengths else len(payload), fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"], number("x-refers-to-page"), payload if with_payload else None))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+                    yield pack(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     found = files.mapInArrow(run, FOUND)
     return found if with_payload else found.drop("payload")
 
 
+def check_revisits(found: DataFrame) -> DataFrame:
+    """The revisits of read_archives() whose response is missing or has another digest: none in a sound archive."""
+    responses = found.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest")).distinct()
+    sound = found.where("record_type = 'revisit'").join(responses, "refers_to", "left")
+    return sound.groupBy(*found.columns).agg(F.max(F.coalesce(F.col("digest") == F.col("payload_digest"), F.lit(False))).alias("sound")).where("not sound").drop("sound")
+
+
 def archive_round_trip(pages: DataFrame, **options) -> DataFrame:
     """Write the pages to archives in the shared folder and read them back; with an empty table, no rows."""
     path = fresh_path(pages.sparkSession, "warc")
