@@ -3,7 +3,11 @@
 A public vocabulary with byte fallback is applied to a text's words, and three
 measures are held against the bands of the text's language, or of its script
 where the language has none: characters per token, share of byte tokens, and
-entropy of the tokens. All map-side: no shuffle.
+entropy of the tokens. A band has fixed outer limits and, inside them, fences
+from the corpus itself: quartiles of all documents of the band (of those alike
+in length for the entropy, which grows with it), moved out by FENCE times their
+distance. The measuring is map-side; the quartiles come from histograms, whose
+size depends on bands and bins, not on the documents.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType
 
-from ._shared import per_text
+from ._shared import cut, per_text
 from .vocabulary import Pieces, loaded
 
 
@@ -60,6 +64,10 @@ SCRIPTS = (
     (0x2E80, "cjk"), (0xA4D0, "other"), (0xAC00, "cjk"), (0xD7FC, "other"), (0xF900, "cjk"), (0xFB00, "other"), (0x20000, "cjk"),
 )
 MIN_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
+#: Distances between the quartiles from a quartile to its fence; documents that a band or length class must have for fences; bins to a unit.
+FENCE, LEAST_DOCUMENTS, BINS = 2.5, 100, 1000
+#: Measures, whether low and high values are fenced, and the least distance between quartiles.
+FENCED = {"chars_per_token": (True, True, 0.02), "byte_share": (False, True, 0.02), "entropy": (True, False, 0.05)}
 
 
 def script_of(text: str) -> str:
@@ -124,27 +132,75 @@ def measures(vocabulary: str) -> Callable[[bytes], tuple]:
     return measure
 
 
-def quality_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = "piece_bpe_32k.model", bands: Mapping[str, Band] = BANDS) -> DataFrame:
-    """One row per document with counts, measures, base_failed and kept.
+def fences(measured: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """(band, length_class) -> low_ and high_ of each fenced measure, from all documents that pass the base rules; null without enough of them.
 
-    A null or empty text has no words and fails; a language that is null or has
-    no band goes by script; repeated rows give a row each; an empty table gives
-    none; other columns are ignored. `vocabulary`: file of the public tokenizers.
+    A row for each band and class: some dozens of bands times some dozens of
+    powers of two, however many the documents.
     """
+    rows = measured.where("not base_failed").select("band", "length_class", F.explode(F.array(*[F.struct(F.lit(m).alias("name"), F.round(F.col(m) * BINS).cast("long").alias("bin")) for m in FENCED])).alias("m"))
+    counts = rows.groupBy("band", "length_class", "m.name", "m.bin").agg(F.count(F.lit(1)).alias("n"))
+    quartiles = lambda name: F.percentile(F.when(F.col("name") == name, F.col("bin") / BINS), F.array(F.lit(0.25), F.lit(0.75)), F.col("n"))
+    number = F.sum(F.when(F.col("name") == "entropy", F.col("n")))
+    in_class = counts.groupBy("band", "length_class").agg(quartiles("entropy").alias("entropy"), number.alias("class_n"))
+    in_band = counts.groupBy("band").agg(*[quartiles(m).alias(m) for m in FENCED if m != "entropy"], number.alias("band_n"))
+    found = in_class.join(in_band, "band")
+    limits = []
+    for name, (below, above, narrowest) in FENCED.items():
+        q, enough = F.col(name), F.col("class_n" if name == "entropy" else "band_n") >= least
+        distance = FENCE * F.greatest(q[1] - q[0], F.lit(narrowest))
+        limits += [F.when(enough, q[0] - distance).alias(f"low_{name}")] * below + [F.when(enough, q[1] + distance).alias(f"high_{name}")] * above
+    return found.select("band", "length_class", *limits)
+
+
+def measure_documents(docs: DataFrame, keep: Mapping[str, str], text_col: str, lang_col: str, vocabulary: str, bands: Mapping[str, Band]) -> DataFrame:
+    """Counts, measures, band, length_class (whole part of the binary logarithm of the tokens) and base_failed of each row; `keep` renames columns that pass through."""
     long, real = LongType(), DoubleType()
     fields = [(n, long) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")] + [(n, real) for n in ("chars_per_token", "byte_share", "entropy")] + [("script", StringType())]
-    found = per_text(docs, {"doc_id": id_col, "lang": lang_col}, text_col, fields, lambda: measures(vocabulary))
+    found = per_text(docs, {**keep, "lang": lang_col}, text_col, fields, lambda: measures(vocabulary))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    inside = F.lit(False)
     key = F.when(F.col("lang").isin(*bands), F.col("lang")).when(F.col("script").isin(*bands), F.col("script")).otherwise(F.lit(""))
+    size = F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))).cast("int")
+    return found.withColumn("band", key).withColumn("length_class", size).withColumn("base_failed", failed)
+
+
+def judged(measured: DataFrame, bands: Mapping[str, Band], least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """measured with kept: the base rules pass, the outer limits hold, and so do the fences where there are any."""
+    inside = F.lit(False)
     most = F.log2(F.greatest(F.col("n_tokens"), F.lit(2)).cast("double"))
     for name, b in bands.items():
         fits = F.col("chars_per_token").between(b.least_chars, b.most_chars) & (F.col("byte_share") <= b.most_bytes) & (F.col("entropy") >= b.least_entropy * most)
         inside = inside | ((F.col("band") == name) & fits)
-    return found.withColumn("band", key).withColumn("base_failed", failed).withColumn("kept", (~F.col("base_failed") & inside).cast(BooleanType()))
+    # at most len(bands) times some 40 classes
+    limits = F.broadcast(cut(fences(measured, least), "fences"))
+    for name, (below, above, _) in FENCED.items():
+        for fenced, limit, test in ((below, f"low_{name}", F.col(name) >= F.col(f"low_{name}")), (above, f"high_{name}", F.col(name) <= F.col(f"high_{name}"))):
+            inside = inside & F.coalesce(test, F.lit(True)) if fenced else inside
+    return measured.join(limits, ["band", "length_class"], "left").withColumn("kept", (~F.col("base_failed") & inside).cast(BooleanType()))
+
 
+def quality_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = "piece_bpe_32k.model", bands: Mapping[str, Band] = BANDS, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """One row per document with counts, measures, base_failed and kept.
+
+    A null or empty text has no words and fails; a language that is null or has
+    no band goes by script; repeated rows give a row each and count as often in
+    the quartiles; an empty table gives none; other columns are ignored. With
+    fewer than `least` documents in a band, only its outer limits hold.
+    `vocabulary`: file of the public tokenizers.
+    """
+    return judged(cut(measure_documents(docs, {"doc_id": id_col}, text_col, lang_col, vocabulary, bands), "measures"), bands, least)
 
-def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """docs without the rows whose quality rules fail; columns stay as they are."""
-    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return quality_measures(whole, "row", "text", "lang", **options).where("kept").select("doc_id.*")
+
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", vocabulary: str = "piece_bpe_32k.model", bands: Mapping[str, Band] = BANDS, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """docs without the rows whose quality rules fail; columns stay as they are, whatever their names.
+
+    Nulls, empty texts and tables, repeated rows: as in quality_measures(). The
+    text goes to Python once, beside the other columns, and the measured rows
+    are written before they are judged, so that nothing is measured twice.
+    """
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
+    whole = docs.select(F.struct(*others).alias("others") if others else F.lit(None).alias("others"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+    measured = cut(measure_documents(whole, {"others": "others", "text": "text"}, "text", "lang", vocabulary, bands), "measures")
+    places = {c: i for i, c in enumerate(docs.columns)}
+    back = [F.col("text").alias(c) if c == text_col else F.col(f"others.c{places[c]}").alias(c) for c in docs.columns]
+    return judged(measured, bands, least).where("kept").select(*back)
