@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-from ._shared import buckets_for, cut, small_batches, text_bytes
+from ._shared import buckets_for, cut, small_rows, text_bytes
 from .spans import keyed, removed
 
 #: Chunks are at least LEAST bytes and end where GEAR_BITS bits of the hash are zero; stretches without a cut are cut every MOST bytes, and an end of fewer than LEAST bytes belongs to the chunk before it.
@@ -30,6 +30,8 @@ SPREAD = np.uint32(2654435769)
 SEGMENT = 1 << 20
 CHUNK = np.dtype([("high", "<u8"), ("low", "<u8"), ("doc", "<i8"), ("version", "<i8"), ("start", "<u8"), ("end", "<u8")])
 TASK_BYTES, HELD = 48 << 20, 400_000
+#: Fewer repeated bytes in a row than this stay: a short line that many documents share, such as a greeting, is no copied passage.
+LEAST_RUN = 128
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -93,7 +95,6 @@ def _first_of(table: np.ndarray) -> np.ndarray:
 
 def duplicate_chunks(documents: DataFrame, least: int = LEAST, bits: int = GEAR_BITS, most: int = MOST) -> DataFrame:
     """keyed() documents -> (doc, version, start, end) of the chunks that repeat an earlier one."""
-    small_batches(documents.sparkSession)
     buckets = buckets_for(text_bytes(documents, "text") / (least + (1 << bits)) * CHUNK.itemsize, TASK_BYTES)
     schema = StructType([StructField("bucket", IntegerType()), StructField("again", BinaryType()), StructField("chunks", BinaryType())])
 
@@ -112,7 +113,7 @@ def duplicate_chunks(documents: DataFrame, least: int = LEAST, bits: int = GEAR_
 
     def run(batches):
         held: list = []
-        for batch in batches:
+        for batch in small_rows(batches):
             for doc, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
                 data, start = text.as_py(), 0
                 for end in cuts(data, least, bits, most):
@@ -126,11 +127,8 @@ def duplicate_chunks(documents: DataFrame, least: int = LEAST, bits: int = GEAR_
             yield flush(held)
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        if rows["bucket"].iloc[0] == -1:
-            again = np.frombuffer(b"".join(rows["again"]), dtype=CHUNK)
-        else:
-            table = np.frombuffer(b"".join(rows["chunks"]), dtype=CHUNK)
-            again = table[~_first_of(table)]
+        table = np.frombuffer(b"".join(rows["chunks"]), dtype=CHUNK)
+        again = table[~_first_of(table)]
         return pd.DataFrame({c: again[c].astype("int64") for c in ("doc", "version", "start", "end")})
 
     chunks = cut(documents.select("doc", "version", "text").mapInArrow(run, schema), "chunks")
@@ -146,13 +144,14 @@ def duplicate_chunks(documents: DataFrame, least: int = LEAST, bits: int = GEAR_
     return local.unionByName(chunks.where("bucket >= 0").groupBy("bucket").applyInPandas(settle, spans))
 
 
-def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False, **sizes) -> DataFrame:
+def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False, least_run: int = LEAST_RUN, **sizes) -> DataFrame:
     """One row per document: n_bytes, the spans of chunks that repeat an earlier chunk (smaller id, or earlier in the document), n_removed, n_spans, kept_sha256.
 
     A null or empty text has no chunks; rows that repeat id and text are one
     document and share its spans; a null id comes after all others; an empty
     table gives no rows; other columns are ignored. Only the one
-    chunk of a shorter document has fewer than LEAST bytes.
+    chunk of a shorter document has fewer than LEAST bytes. Neighbouring
+    repeated chunks are one run, and only runs of `least_run` bytes go.
     """
     documents = keyed(docs, id_col, text_col)
-    return removed(documents, duplicate_chunks(documents, **sizes), with_kept)
+    return removed(documents, duplicate_chunks(documents, **sizes), with_kept, least_run)
