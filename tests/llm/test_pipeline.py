@@ -1,7 +1,7 @@
 import corpus_pipeline
 from lectern.llm.secret_scan import Scanner
 
-from .test_operators import DOCS, corpus, shingle_sets
+from .test_operators import corpus, shingle_sets
 
 
 def test_pipeline(spark):
@@ -29,6 +29,3 @@ def test_pipeline(spark):
     assert words and {p.doc_id for p in pieces} == {r.doc_id for r in kept.collect()}
     assert sum(p.length for p in pieces if p.start == 0) > 0
 
-
-def test_docs_schema():
-    assert DOCS.startswith("doc_id")
