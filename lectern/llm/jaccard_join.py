@@ -119,12 +119,16 @@ def least_matches(similarity: float, tolerance: float = TOLERANCE, total: int =
 
 
 def candidate_pairs(signatures: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, similarity: float, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) among `allowed` that share a band, whose sizes permit the similarity and whose values, compared in steps, never make it improbable."""
+    """(i, j) among `allowed` that share a band and survive."""
     keys = band_keys(signatures)
     near = np.zeros(allowed.shape, dtype=bool)
     for band in range(BANDS):
         near |= keys[:, band][:, None] == keys[:, band][None, :]
-    i, j = np.nonzero(near & allowed)
+    return surviving_pairs(signatures, sizes, *np.nonzero(near & allowed), similarity, tolerance)
+
+
+def surviving_pairs(signatures: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) whose sizes permit the similarity and whose values, compared STEP at a time, never make it improbable."""
     fits = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-9
     i, j = i[fits], j[fits]
     matches, need = np.zeros(len(i), dtype=np.int64), least_matches(similarity, tolerance)
@@ -176,14 +180,27 @@ def _pruner(similarity: float):
         rows = rows.sort_values(["key", "node"])
         node, sizes, signatures = rows["node"].to_numpy(), rows["n_shingles"].to_numpy(), _signatures(rows["signature"])
         edges = np.flatnonzero(np.diff(rows["key"].to_numpy())) + 1
-        low_nodes, high_nodes = [], []
+        names, place = np.unique(node, return_inverse=True)
+        root = np.empty((2, 0), dtype=np.int64)
+        held, waiting, shapes = [], 0, {}
+
+        def flush() -> np.ndarray:
+            """The forest so far and the survivors of the waiting pairs, as one forest."""
+            i, j = np.concatenate(held, axis=1) if held else np.empty((2, 0), dtype=np.int64)
+            i, j = surviving_pairs(signatures, sizes, i, j, similarity)
+            return np.stack(forest(np.append(root[0], place[i]), np.append(root[1], place[j]), len(names)))
+
         for start, stop in zip([0, *edges], [*edges, len(node)], strict=True):
             n = stop - start
-            i, j = candidate_pairs(signatures[start:stop], sizes[start:stop], pair_mask(np.zeros(n), True), similarity)
-            low, high = forest(i, j, n)
-            low_nodes.append(node[start:stop][low])
-            high_nodes.append(node[start:stop][high])
-        return pd.DataFrame({"u": np.concatenate(low_nodes), "v": np.concatenate(high_nodes)}).drop_duplicates()
+            if n not in shapes:
+                shapes[n] = np.stack(np.triu_indices(n, 1))
+            held.append(shapes[n] + start)
+            waiting += held[-1].shape[1]
+            if waiting > 1 << 18:
+                root = flush()
+                held, waiting = [], 0
+        low, high = flush()
+        return pd.DataFrame({"u": names[low], "v": names[high]})
 
     return prune
 
