@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import tempfile
@@ -65,13 +66,25 @@ def release(spark: SparkSession, keep: set[str] = frozenset()) -> None:
         files.delete(path(folder, name), True)
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: the lineage ends here and lost executors cost nothing."""
+def cut(df: DataFrame, name: str = "cut", made: list[str] | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: the lineage ends here and lost executors cost nothing. made: gets the path, for discard()."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, made: list[str]) -> None:
+    """Delete the tables in `made`, which nothing reads any more, and have the driver notice which shuffles ended with them."""
+    files, _ = _own_folder(spark)
+    for path in made:
+        files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+    made.clear()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(docs: DataFrame, text: str) -> int:
     """UTF-8 bytes of all texts: sizes the number of buckets, nothing else."""
     return docs.select(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from ._shared import buckets_for, cut, small_rows, text_bytes
+from ._shared import buckets_for, cut, discard, small_rows, text_bytes
 from .chunk_dedup import CHUNK, _first_of
 from .spans import keyed, removed
 
@@ -84,8 +84,9 @@ def _periodic(part: np.ndarray, names: np.ndarray, chosen: np.ndarray, length: i
 def anchors(data: bytes, length: int = LENGTH) -> tuple[tuple[np.ndarray, ...], list[tuple[int, int]]]:
     """Runs of windows with one anchor: (name, name behind, name before, anchor, first window, last window), positions in the document; and the spans of windows settled as periodic.
 
-    The names behind and before are of 32 bytes each, cut to 31 bits and never
-    0; 0 where no window of the run reaches so far.
+    The names behind and before are of 32 bytes each, cut to 15 bits and never
+    0; 0 where no window of the run reaches so far. A name that is equal by
+    chance costs time in the next round, nothing else.
     """
     span = length - GRAM + 1
     parts, settled = [], []
@@ -109,10 +110,10 @@ def anchors(data: bytes, length: int = LENGTH) -> tuple[tuple[np.ndarray, ...],
         first, last = window[new], window[np.append(new[1:], len(window)) - 1]
         spot = spot[new]
         behind, before = spot - last <= (span - 1) // 2, spot - first > (span - 1) // 2
-        half = lambda place, there: np.where(there, (names[np.where(there, place, 0)] >> np.uint64(33)) | np.uint64(1), 0).astype("<u4")  # noqa: E731, B023
+        half = lambda place, there: np.where(there, (names[np.where(there, place, 0)] >> np.uint64(48)) | np.uint64(1), 0).astype("<u2")  # noqa: E731, B023
         parts.append((names[spot], half(spot + GRAM, behind), half(spot - GRAM, before), spot + at, first + at, last + at))
     if not parts:
-        return (np.empty(0, np.uint64), *[np.empty(0, "<u4")] * 2, *[np.empty(0, np.int64)] * 3), []
+        return (np.empty(0, np.uint64), *[np.empty(0, "<u2")] * 2, *[np.empty(0, np.int64)] * 3), []
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)), settled
 
 
@@ -158,6 +159,15 @@ def _named_blocks(documents: DataFrame, length: int) -> DataFrame:
     return documents.select("doc", "version", "text").mapInArrow(run, schema)
 
 
+def _settled(blocks: DataFrame) -> DataFrame:
+    def unpack(batches):
+        for batch in batches:
+            spans = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=SPANS)
+            yield _batches_of([spans[n] for n in SPANS.names], [pa.int64()] * 4, list(SPANS.names))
+
+    return blocks.where("length(settled) > 0").select("settled").mapInArrow(unpack, SPAN_COLUMNS)
+
+
 def _dealt(names: np.ndarray, buckets: int):
     """Distinct names by bucket: (distinct sorted by bucket, index of each name there, how often each occurs, bucket numbers, bucket edges)."""
     distinct, back, counts = np.unique(names, return_inverse=True, return_counts=True)
@@ -173,7 +183,7 @@ def _names(packed) -> np.ndarray:
     return np.frombuffer(packed.as_py(), dtype="<u8")
 
 
-def _round(blocks: DataFrame, buckets: int, frequent: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _round(blocks: DataFrame, buckets: int, made: list[str], frequent: int | None = None) -> tuple[DataFrame, DataFrame]:
     """One round over (block, names): names meet by bucket, are sorted and counted.
 
     Returns (block, answers: bits of which are repeated, by bucket), and (often,
@@ -206,7 +216,7 @@ def _round(blocks: DataFrame, buckets: int, frequent: int | None = None) -> tupl
         return pd.concat([pd.DataFrame(answer), pd.DataFrame(found)]) if often.any() else pd.DataFrame(answer)
 
     dealt = blocks.mapInArrow(deal, "bucket int, block long, names binary, multiple binary, times binary")
-    counted = cut(dealt.groupBy("bucket").applyInPandas(count, "block long, bucket int, again binary, often binary, strings long"), "answers")
+    counted = cut(dealt.groupBy("bucket").applyInPandas(count, "block long, bucket int, again binary, often binary, strings long"), "answers", made)
     answers = counted.where("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "again"))).alias("answers"))
     return answers, counted.where("block < 0").select("often", "strings")
 
@@ -220,9 +230,9 @@ def _answered(names: np.ndarray, answers, buckets: int) -> np.ndarray:
     return again[where] > 0
 
 
-def repeated_anchors(blocks: DataFrame, buckets: int, frequent: int = FREQUENT) -> tuple[DataFrame, np.ndarray, int]:
+def repeated_anchors(blocks: DataFrame, buckets: int, made: list[str], frequent: int = FREQUENT) -> tuple[DataFrame, np.ndarray, int]:
     """(doc, version, flags): for documents with any, which of their anchors are repeated with what is behind them, and which with what is before, as packed bits; the sorted names that occur more than `frequent` times; how often these occur in all."""
-    first, many = _round(blocks.select("block", "names"), buckets, frequent)
+    first, many = _round(blocks.select("block", "names"), buckets, made, frequent)
     # few: a name for more than `frequent` strings
     often = many.collect()
 
@@ -231,7 +241,7 @@ def repeated_anchors(blocks: DataFrame, buckets: int, frequent: int = FREQUENT)
             for block, docs, names, behind, before, answers in zip(*batch.columns, strict=True):
                 names = _names(names)
                 again = _answered(names, answers, buckets)
-                sides = [np.frombuffer(x.as_py(), dtype="<u4").astype(np.uint64) for x in (behind, before)]
+                sides = [np.frombuffer(x.as_py(), dtype="<u2").astype(np.uint64) for x in (behind, before)]
                 masks = [again & (x > 0) for x in sides]
                 # the side is part of the pair: it says at which offset the second name stands
                 pairs = np.concatenate([(names[m] * FACTORS[k] + x[m]) * FACTORS[k + 2] for k, (m, x) in enumerate(zip(masks, sides, strict=True))])
@@ -240,8 +250,8 @@ def repeated_anchors(blocks: DataFrame, buckets: int, frequent: int = FREQUENT)
                     yield _batches_of([[block.as_py()], [docs.as_py()], [np.packbits(masks).tobytes()], [pairs.tobytes()]], [pa.int64(), *[pa.binary()] * 3], ["block", "docs", "masks", "names"])
 
     left = blocks.join(first, "block").select("block", "docs", "names", "behind", "before", "answers")
-    left = cut(left.mapInArrow(pair, "block long, docs binary, masks binary, names binary"), "pairs")
-    second, _ = _round(left.select("block", "names"), buckets)
+    left = cut(left.mapInArrow(pair, "block long, docs binary, masks binary, names binary"), "pairs", made)
+    second, _ = _round(left.select("block", "names"), buckets, made)
 
     def flag(batches):
         for batch in batches:
@@ -408,16 +418,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError(f"length must be {3 * GRAM - 1} to {GRAM + 100}")
     documents = keyed(docs, id_col, text_col)
     total = text_bytes(documents, "text")
-    blocks = cut(_named_blocks(documents, length), "names")
-    flagged, often, strings = repeated_anchors(blocks, buckets_for(total / 4, TASK_BYTES), frequent)
+    made: list[str] = []  # tables that only the rounds read
+    blocks = cut(_named_blocks(documents, length), "names", made)
+    settled = cut(_settled(blocks), "settled")
+    flagged, often, strings = repeated_anchors(blocks, buckets_for(total / 4, TASK_BYTES), made, frequent)
     flagged = cut(flagged, "flags")
+    discard(docs.sparkSession, made)
     wide = buckets_for(strings * (length - GRAM + 2) / 2 * CHUNK.itemsize, TASK_BYTES)
     found = cut(repeated_windows(documents, flagged, buckets_for(total, TASK_BYTES), length, often, wide), "windows")
-
-    def unpack(batches):
-        for batch in batches:
-            spans = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=SPANS)
-            yield _batches_of([spans[n] for n in SPANS.names], [pa.int64()] * 4, list(SPANS.names))
-
-    settled = blocks.where("length(settled) > 0").select("settled").mapInArrow(unpack, SPAN_COLUMNS)
     return removed(documents, found.unionByName(settled), with_kept)

@@ -133,7 +133,7 @@ def test_suffix_dedup_deals_frequent_names(spark, docs, rows):
     lined.append((300, lined[7][1]))
     frame = spark.createDataFrame(lined, "doc_id long, text string").repartition(3)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(frame, frequent=50).collect()} == brute_removed(lined)
-    flagged, often, strings = repeated_anchors(_named_blocks(keyed(frame, "doc_id", "text"), 100), 12, frequent=50)
+    flagged, often, strings = repeated_anchors(_named_blocks(keyed(frame, "doc_id", "text"), 100), 12, [], frequent=50)
     assert len(often) >= 1 and strings > 250
     dealt = [len(zstandard.decompress(r.strings)) for r in dealt_strings(keyed(frame, "doc_id", "text"), flagged, 12, often=often, wide=12).groupBy("bucket").agg(F.max("strings").alias("strings")).collect()]
     assert len(dealt) > 12 and max(dealt) < sum(dealt) / 4
