@@ -19,6 +19,14 @@ CAPTION = r"(?i)^(?:fig(?:ure)?s?\.?|tables?|tab\.|algorithms?|alg\.|listings?)\
 NUMBER = r"(?i)^((?:[0-9]+(?:\.[0-9]+)*\.?)|(?:[IVXLC]+\.)|(?:[A-Z]\.(?:[0-9]+\.?)*)|(?:appendix\s+[A-Z]))\s+"
 REFERENCES = r"(?i)^(?:references?|bibliography|works cited|literature cited|references and notes|citations)\s*[.:]?\z"
 MARKDOWN = r"(?m)^#{1,6}\s|^\s*[-*+]\s|\|.*\|.*\n|\*\*[^*]+\*\*|```"
+HEADING_WORDS = (
+    r"(?i)(?:abstract|introduction|background|related works?|prior work|preliminaries|motivation|methods?|methodology|approach|(?:the )?(?:proposed )?(?:model|models|method|framework|system|architecture)"
+    r"|experiments?|experimental (?:setup|settings|results|evaluation)|results?|results and (?:discussion|analysis)|evaluation|analysis|discussion|conclusions?|conclusions? and future work"
+    r"|conclusions? and outlook|future work|limitations|limitations and future work|acknowledge?ments?|references?|bibliography|appendix|appendices|supplementary materials?|ethics statement"
+    r"|ethical considerations|broader impacts?|contributions?|availability|funding|data availability|conflicts? of interest|author contributions|keywords|summary|overview|notation"
+    r"|problem (?:statement|formulation|setup|definition)|proofs?|theory|implementation details|training details|datasets?|baselines|setup|ablation stud(?:y|ies)|ablations|case stud(?:y|ies)"
+    r"|qualitative results|quantitative results|main results|societal impact|reproducibility(?: statement)?)"
+)
 UNTITLED = r"(?i)^untitled|\.(pdf|tex|doc)\z"
 
 _ACCENT = re.compile("([" + "".join(map(chr, ACCENTS)) + r"])\s?([A-Za-z])")
