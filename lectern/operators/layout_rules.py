@@ -77,7 +77,7 @@ def gutters(runs: DataFrame) -> DataFrame:
     clear_right = ~clear_left & (F.col("x") >= F.col("at") + g)
     total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     by_line = met.groupBy(*page, "place", "at", "line_seq").agg(total(clear_left).alias("a"), total(clear_right).alias("b"), total(~clear_left & ~clear_right).alias("o"))
-    by_strip = by_line.groupBy(*page, "place", "at").agg(F.sum("o").alias("across"), F.sum(F.col("a") + F.col("b") + F.col("o")).alias("total"), F.count_if("a > 0 and o = 0").alias("left_lines"), F.count_if("b > 0 and o = 0").alias("right_lines"))
+    by_strip = by_line.groupBy(*page, "place", "at").agg(F.sum("o").alias("across"), F.sum(F.col("a") + F.col("b") + F.col("o")).alias("total"), F.count_if((F.col("a") > 0) & (F.col("o") == 0)).alias("left_lines"), F.count_if((F.col("b") > 0) & (F.col("o") == 0)).alias("right_lines"))
     best = by_strip.groupBy(*page).agg(F.min_by(F.struct("at", "left_lines", "right_lines", "across", "total"), F.struct("across", "place")).alias("s"))
     two = (F.least("s.left_lines", "s.right_lines") >= 3) & (F.col("s.across") <= 0.25 * F.greatest(F.col("s.total"), F.lit(1)))
     return best.select(*page, F.col("s.at").alias("gutter"), "s.left_lines", "s.right_lines", "s.across", two.alias("two"))

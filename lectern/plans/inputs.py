@@ -51,6 +51,34 @@ LINES = """SELECT l_orderkey AS doc_id, l_linenumber AS line_seq, CAST(l_partkey
   WHEN 3 THEN concat('Method 1.0 ', l_linenumber, ' 3') ELSE '∑ ≤ α b c' END AS text,
  CASE l_suppkey % 5 WHEN 0 THEN concat(l_linenumber, '|3.5|7%|–|', l_returnflag) WHEN 1 THEN concat('x = y + ', l_linenumber, '|(', l_partkey % 9, 'a)') WHEN 2 THEN 'Plain words that go on.'
   WHEN 3 THEN concat('Method|1.0|', l_linenumber) ELSE '∑ ≤ α b c' END AS joined FROM lineitem"""
+#: Line items with a place of their own in the order.
+PLACED = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS place FROM lineitem)"
+#: Text runs of lines: sizes, fonts, raised runs and odd baselines.
+LINE_RUNS = f"""SELECT l_orderkey AS doc_id, 1 AS page, CAST(place % 2 AS INT) AS line_seq, substring('abcdefghijklmnop', 1, CAST(1 + l_partkey % 12 AS INT)) AS str, CAST(place * 50 AS DOUBLE) AS x,
+ CAST(700 + l_suppkey % 3 AS DOUBLE) + CASE WHEN l_partkey % 4 = 0 THEN 4 ELSE 0 END AS y, CAST(CASE l_suppkey % 5 WHEN 0 THEN 6.9 WHEN 1 THEN 12 WHEN 2 THEN 10.2 ELSE 10 END AS DOUBLE) AS size,
+ CASE l_partkey % 6 WHEN 0 THEN 'ABCDEF+Times-Bold' WHEN 1 THEN 'CMBX12' WHEN 2 THEN 'Courier' WHEN 3 THEN 'ABCDEF+NimbusRomNo9L-Regu' ELSE 'Times-Roman' END AS font FROM {PLACED}"""
+#: Lines of two columns with up to three cells.
+CELL_LINES = f"""SELECT l_orderkey AS doc_id, 1 AS page, place AS line_seq, CAST(CASE WHEN place > 4 THEN 1 ELSE 0 END AS INT) AS col, CAST(54 AS DOUBLE) AS x0, CAST(100 + (l_partkey * 13) % 200 AS DOUBLE) AS x1,
+ CAST(700 - place * (8 + l_suppkey % 12) AS DOUBLE) AS y, CAST(8 + l_suppkey % 4 AS DOUBLE) AS size, l_partkey % 9 = 0 AS tabular, l_suppkey % 5 = 0 AS numeric_row, CAST(54 AS DOUBLE) AS c1,
+ CAST(150 + 9 * (l_partkey % 3) AS DOUBLE) AS c2, CAST(220 + 7 * (l_suppkey % 4) AS DOUBLE) AS c3, 1 + l_partkey % 3 AS n, CAST(54 AS DOUBLE) AS cl, CAST(290 AS DOUBLE) AS cr, CAST(10 AS DOUBLE) AS body_size, CAST(12 AS DOUBLE) AS pitch FROM {PLACED}"""
+_TEXTS = """CASE l_suppkey % 20 WHEN 0 THEN 'Results' WHEN 1 THEN '2.1 Data and methods' WHEN 2 THEN 'A plain sentence of the text, which goes on for a while and says little before it ends.' WHEN 3 THEN 'INTRODUCTION'
+  WHEN 4 THEN 'write to ann@lab.org' WHEN 5 THEN concat('[', place, '] Foo and Bar, a title') WHEN 6 THEN concat('- ', l_partkey % 3000, ' -') WHEN 7 THEN 'see https://lab.org for more' WHEN 8 THEN 'page 3 of 9'
+  WHEN 9 THEN 'axis label' WHEN 10 THEN 'Figure 3: what it shows' WHEN 11 THEN 'A. Proofs and other things.' WHEN 12 THEN 'Ann Author, Bo Writer' WHEN 13 THEN 'a lower case line; it goes on' WHEN 14 THEN 'IV. Related Work'
+  WHEN 15 THEN 'What is it? Nobody (so far) has said so in all these years of work' WHEN 16 THEN '– . –' WHEN 17 THEN 'xii'
+  WHEN 18 THEN concat('Long paragraphs have three lines or more and over one hundred and twenty characters, as this one has, which says nothing else than that, number ', l_partkey, '.') ELSE 'Title-like words 12' END"""
+#: Blocks of pages of a document, of every kind and place.
+LAID_BLOCKS = f"""SELECT l_orderkey AS doc_id, CAST(1 + floor(place / 5) AS INT) AS page, place AS seq, CAST(l_partkey % 2 AS INT) AS col, {_TEXTS} AS text,
+ CAST((CASE WHEN l_partkey % 3 = 0 THEN 10 ELSE 6 + (l_partkey * 7 + place) % 9 END) AS DOUBLE) AS size, CASE WHEN l_partkey % 7 = 0 THEN 'symbol' WHEN l_partkey % 11 = 0 THEN '' ELSE 'times' END AS family,
+ CAST(1 + (l_partkey + l_suppkey) % 5 AS INT) AS n_lines, CAST(l_partkey % 13 % 3 AS INT) AS n_tabular, CAST(l_suppkey % 17 % 3 AS INT) AS n_eq, CAST(CASE WHEN l_partkey % 10 = 0 THEN 1 + (l_partkey + l_suppkey) % 5 ELSE 0 END AS INT) AS n_mono,
+ CAST((l_partkey * 31 + place * 97) % 792 AS DOUBLE) AS first, CAST(greatest(0, (l_partkey * 31 + place * 97) % 792 - 12 * ((l_partkey + l_suppkey) % 5)) AS DOUBLE) AS last, CAST(792 AS DOUBLE) AS height,
+ l_partkey % 4 = 0 AS bold, l_suppkey % 3 = 0 AS repeats, CAST(10 AS DOUBLE) AS body_size, 'times' AS body_family, CAST(CASE WHEN l_partkey % 5 = 0 THEN (l_partkey * 17) % 400 END AS DOUBLE) AS lowest_body,
+ CASE (l_partkey + place) % 10 WHEN 0 THEN 'figure' WHEN 1 THEN 'table' WHEN 2 THEN 'caption' WHEN 3 THEN 'body' WHEN 4 THEN 'heading' WHEN 5 THEN 'equation' WHEN 6 THEN 'footnote' WHEN 7 THEN 'reference' WHEN 8 THEN 'figure' ELSE 'table' END AS kind,
+ CASE WHEN l_suppkey % 4 = 0 THEN '2.1' END AS number, l_suppkey % 6 = 0 AS known, l_partkey % 3 = 1 AS multi, CASE WHEN l_suppkey % 2 = 0 THEN 'table' ELSE 'figure' END AS caption_type FROM {PLACED}"""
+#: Short entries in brackets, some of them parted by page furniture, a heading or a larger one.
+ENTRY_BLOCKS = """SELECT CAST(o_custkey AS BIGINT) AS doc_id, CAST(1 + o_orderkey % 4 AS INT) AS page, o_orderkey AS seq, CASE WHEN o_orderkey % 23 = 0 THEN 'heading' WHEN o_orderkey % 5 = 0 THEN 'footer' WHEN o_orderkey % 7 = 0 THEN 'footnote' ELSE 'body' END AS kind,
+ CASE WHEN o_orderkey % 19 = 0 THEN 'No entry' ELSE concat('[', o_orderkey % 99, '] A. Writer, a book') END AS text, CAST(CASE WHEN o_orderkey % 17 = 0 THEN 10 ELSE 9 END AS DOUBLE) AS size, CAST(10 AS DOUBLE) AS body_size FROM orders"""
+_FRAGMENT = "CASE {n} % 8 WHEN 0 THEN 'inter-' WHEN 1 THEN 'national work' WHEN 2 THEN 'of a self-' WHEN 3 THEN 'made state-of-the-' WHEN 4 THEN 'art in 3-' WHEN 5 THEN 'fold' WHEN 6 THEN 'End-To-' ELSE '' END"
+FRAGMENTS = f"SELECT l_orderkey AS doc_id, l_linenumber AS seq, {_FRAGMENT.format(n='l_suppkey')} AS a, {_FRAGMENT.format(n='l_partkey')} AS b, {_FRAGMENT.format(n='(l_suppkey + l_partkey)')} AS c, {_FRAGMENT.format(n='l_linenumber')} AS d FROM lineitem"
 NUMBERS = "SELECT o_orderkey AS id, CAST(o_totalprice / 7 - 20000 AS DOUBLE) AS x, CAST(o_totalprice * 100 AS BIGINT) AS n FROM orders"
 
 

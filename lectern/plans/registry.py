@@ -14,9 +14,10 @@ from lectern.operators.sentences import sentence_parts, sentences
 from lectern.operators.text_blocks import text_blocks
 
 from . import inputs as I
+from . import layout_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(layout_queries.QUERIES)
+ORACLES: dict[str, str] = dict(layout_queries.ORACLES)
 
 
 def query(oracle: str | None = None):
