@@ -215,10 +215,14 @@ def implicit_references(blocks: DataFrame, least: int = 6) -> DataFrame:
     return rows.withColumn("kind", F.when(F.col("_entry") & (F.col("_n") >= least), "reference").otherwise(F.col("kind"))).select(blocks.columns)
 
 
+def speck(text: Column, size: Column, body_size: Column) -> Column:
+    """A small block with two letters or digits at most."""
+    return (size < 0.8 * body_size) & (F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")) <= 2)
+
+
 def finalise(blocks: DataFrame) -> DataFrame:
     """(doc_id, page, seq, kind, text, size, number, heading, rows, body_size) -> public blocks: no specks, dense ids, normalised text, no empty cells or rows."""
-    signs = F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))
-    kept = blocks.where((F.col("size") >= 0.8 * F.col("body_size")) | (signs > 2))
+    kept = blocks.where(~speck(F.col("text"), F.col("size"), F.col("body_size")))
     order = Window.partitionBy("doc_id").orderBy("page", "seq")
     cells = F.filter(F.transform("rows", lambda r: F.filter(F.transform(r, T.squeeze), lambda c: c != "")), lambda r: F.size(r) > 0)
     number = F.when(F.col("number") != "", F.col("number"))

@@ -36,8 +36,8 @@ def _block(kind: str, text: Column, number: Column | None = None, heading: bool
     return F.struct(F.lit(kind).alias("kind"), text.alias("text"), (F.lit(None).cast("string") if number is None else F.when(number != "", number)).alias("number"), F.lit(heading).alias("heading"))
 
 
-def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", newline_is_paragraph: bool = False) -> DataFrame:
-    """(doc_id, block_id, page, kind, text, size, number, heading): one row per block.
+def _marked(docs: DataFrame, id_col: str, text_col: str, newline_is_paragraph: bool) -> tuple[DataFrame, Column]:
+    """(doc_id and paragraph facts, the array of BLOCK structs over them).
 
     In order: caption; after the first reference heading, entries; the second
     block after a heading is the authors if short and unpunctuated; short
@@ -66,5 +66,18 @@ def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .otherwise(F.array(_block("body", x["text"])))
         )
 
-    rows = marked.select("doc_id", F.posexplode(F.filter(F.flatten(F.transform("f", blocks)), lambda b: b["text"] != "")).alias("block_id", "b"))
+    return marked, F.filter(F.flatten(F.transform("f", blocks)), lambda b: b["text"] != "")
+
+
+def block_arrays(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", newline_is_paragraph: bool = False) -> DataFrame:
+    """(doc_id, blocks): the blocks of a document in order, as BLOCK structs."""
+    marked, found = _marked(docs, id_col, text_col, newline_is_paragraph)
+    return marked.select("doc_id", found.alias("blocks"))
+
+
+def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", newline_is_paragraph: bool = False) -> DataFrame:
+    """(doc_id, block_id, page, kind, text, size, number, heading): one row per block of block_arrays()."""
+    marked, found = _marked(docs, id_col, text_col, newline_is_paragraph)
+    # the array is made inside the generator: as a column of its own, Catalyst would make it once for each field
+    rows = marked.select("doc_id", F.posexplode(found).alias("block_id", "b"))
     return rows.select("doc_id", "block_id", F.lit(1).alias("page"), "b.kind", "b.text", F.lit(10.0).alias("size"), "b.number", "b.heading")

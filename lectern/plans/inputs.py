@@ -12,6 +12,8 @@ PAPER = """concat('Study of Item ', doc_id, chr(10), chr(10), 'Ann Author, Bo Wr
 SPOKEN = """concat(text, ' See Fig. ', doc_id % 9 + 1, ' and Figs. 4, Eq. (', doc_id % 7, ') e.g., cats i.e. cf. Li vs. Wu; 5−', doc_id % 5,
  ' is ≤ 9% of A & B, 10^', doc_id % 4, ' or 10^−5, pages 1–2–', doc_id % 6, ' takes ~5 ms → x ± 2 × 3 ≥ 1 (Smith et al., 20', 10 + doc_id % 10,
  ') [', doc_id % 30, ', 3–5] (see Fig. 3) (Smith, 2020; Jones and Li, 2019b) a ( , b) ; c Appx. B, Ref. [4] w.r.t. it, Secs. 2 Sec. 3 Tab. 1 Refs. 5 Alg. 2 approx. 7° ●')"""
+#: Ligatures, separate accents, invisible characters and odd spaces around a text.
+UNCOMPOSED = "concat('ﬁne´ etude ´e¨o gar¸ con\u00ad x\u200by½ ', text, '\u00a0ﬂat²\u2009Ａ e\u0301 ')"
 SENTENCES = """SELECT conv_id AS doc_id, CAST(turn AS INT) AS sentence_id, CAST(floor(turn / 2) AS INT) AS block_id, CAST(turn % 2 AS INT) AS ordinal, CAST(floor(turn / 3) AS INT) + 1 AS page, 'body' AS kind, text FROM conversations"""
 APPLIED = """SELECT conv_id AS doc_id, CAST(turn AS INT) AS block_id, CAST(floor(turn / 4) AS INT) + 1 AS page,
  CASE (conv_id + turn) % 6 WHEN 0 THEN 'body' WHEN 1 THEN 'reference' WHEN 2 THEN 'reference' WHEN 3 THEN 'table' WHEN 4 THEN 'caption' ELSE 'heading' END AS kind, text,

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from lectern.functions import rules as R
 from lectern.functions import text as T
-from lectern.operators import audio, layout_fold, layout_stats, markdown, speech, views
-from lectern.operators.sentences import sentence_parts, sentences
+from lectern.operators import audio, layout_fold, layout_rules, layout_stats, markdown, speech, views
+from lectern.operators.sentences import sentence_parts, sentences, text_sentences
 from lectern.operators.text_blocks import text_blocks
 
 from . import inputs as I
 from . import layout_queries
+from .sentence_sql import parts_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(layout_queries.QUERIES)
 ORACLES: dict[str, str] = dict(layout_queries.ORACLES)
@@ -158,12 +159,21 @@ def apply_overrides(spark, sf_dir):
     return speech.apply_options(text_blocks(_papers(spark, sf_dir)), overrides=changes).select("doc_id", "block_id", "kind", "auto", "included")
 
 
-@query()
+_CLEANED = R.sql_rules(R.sql_rules(R.sql_citations(f"({_SAID})"), R.SPEECH), R.CLEANUP)
+
+
+@query(rf"""WITH RECURSIVE {_BLOCKS_SQL}, spoken AS (SELECT {{'d': doc_id, 'b': block_id}} AS k, {_CLEANED} AS t FROM blocks WHERE kind NOT IN ('reference', 'caption')), {parts_sql('spoken')},
+ numbered AS (SELECT k, (row_number() OVER (PARTITION BY k ORDER BY i, j) - 1)::INT AS ordinal, count(*) OVER (PARTITION BY k) AS n, trim(regexp_replace(part, '\s+', ' ', 'g')) AS part FROM parts),
+ rows AS (SELECT doc_id, block_id, ordinal, page, kind, part, n, number, CASE WHEN part LIKE '%.' AND NOT regexp_matches(text, '[.!?…:]$') THEN left(part, length(part) - 1) ELSE part END AS bare
+  FROM numbered JOIN blocks ON k.d = doc_id AND k.b = block_id WHERE regexp_matches(part, '[\p{{L}}\p{{N}}]')),
+ shown AS (SELECT *, CASE WHEN number IS NOT NULL AND kind IN ('heading', 'reference') THEN number || ' ' || bare ELSE bare END AS long FROM rows)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY block_id, ordinal) - 1)::INT AS sentence_id, block_id, ordinal, page, kind, part AS text, CASE WHEN n = 1 AND long <> part THEN long END AS display FROM shown""")
 def sentence_rows(spark, sf_dir):
-    return sentences(speech.apply_options(text_blocks(_papers(spark, sf_dir))))
+    return text_sentences(_papers(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE spoken AS (SELECT doc_id AS k, {I.SPOKEN} AS t FROM documents), {parts_sql('spoken')}
+SELECT k AS doc_id, (row_number() OVER (PARTITION BY k ORDER BY i, j) - 1)::INT AS ordinal, part FROM parts""")
 def sentence_chunks(spark, sf_dir):
     return _spoken(spark, sf_dir).select("doc_id", F.posexplode(sentence_parts("text")).alias("ordinal", "part"))
 
@@ -192,7 +202,7 @@ def cursor_relocate(spark, sf_dir):
     return views.relocate_cursors(cursors, s)
 
 
-@query(f"SELECT doc_id, sentence_id, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY sentence_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS remaining_chars FROM ({I.SENTENCES}) WHERE page <= 3")
+@query(f"SELECT doc_id, sentence_id, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY sentence_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS remaining_chars FROM ({I.SENTENCES})")
 def remaining_chars(spark, sf_dir):
     s = _sentences(spark, sf_dir)
     return views.remaining_chars(s, views.page_bounds(s, 1))
@@ -313,15 +323,23 @@ def markdown_blocks(spark, sf_dir):
     return markdown.markdown_blocks(_papers(spark, sf_dir)).withColumn("rows", F.to_json("rows"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents")
+@query(rf"""WITH t AS (SELECT doc_id, {I.UNCOMPOSED} AS t FROM documents),
+ a AS (SELECT doc_id, replace(replace(replace(replace(replace(regexp_replace(t, '[\x{{00AD}}\x{{200B}}\x{{200C}}\x{{200D}}\x{{FEFF}}\x{{FFFD}}]', '', 'g'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '²', '2'), '½', '1⁄2'), 'Ａ', 'A') AS t FROM t),
+ c AS (SELECT doc_id, replace(replace(replace(replace(t, '´e', 'é'), '´ e', 'é'), '¨o', 'ö'), '¸ c', 'ç') AS t FROM a)
+SELECT doc_id, trim(regexp_replace(nfc_normalize(t), '[\s\x{{00A0}}\x{{2009}}]+', ' ', 'g')) AS text FROM c""")
 def normalize_text(spark, sf_dir):
-    return I.table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("text"))
+    return I.sql(spark, sf_dir, f"SELECT doc_id, {I.UNCOMPOSED} AS text FROM documents", "documents").select("doc_id", T.normalize_text(F.col("text")).alias("text"))
 
 
-@query("SELECT doc_id, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS n_signs FROM (SELECT doc_id, left(text, 4) AS text FROM documents) WHERE length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) > 2")
+@query(r"""WITH l AS (SELECT doc_id, 6 + doc_id % 8 AS size, unnest(string_split(text, chr(10))) AS line FROM documents), p AS (SELECT doc_id, size, unnest(regexp_extract_all(line, '[^ ]+')) AS text FROM l),
+ n AS (SELECT *, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS signs FROM p)
+SELECT doc_id, count(*) AS n_blocks, count_if(size < 8 AND signs <= 2) AS n_specks, sum(CASE WHEN size >= 8 OR signs > 2 THEN signs ELSE 0 END)::BIGINT AS n_signs FROM n GROUP BY doc_id""")
 def speck_filter(spark, sf_dir):
-    signs = F.length(F.regexp_replace(F.left("text", F.lit(4)), r"[^\p{L}\p{N}]", ""))
-    return I.table(spark, sf_dir, "documents").select("doc_id", signs.alias("n_signs")).where("n_signs > 2")
+    """Every word of every whole text as a block of its own: small ones with two signs or fewer are specks."""
+    words = I.table(spark, sf_dir, "documents").select("doc_id", (6 + F.col("doc_id") % 8).alias("size"), F.explode(F.regexp_extract_all("text", F.lit("[^ \n]+"), 0)).alias("text"))
+    signs = F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))
+    speck = layout_rules.speck(F.col("text"), F.col("size"), F.lit(10.0))
+    return words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.count_if(speck).alias("n_specks"), F.sum(F.when(~speck, signs).otherwise(0)).alias("n_signs"))
 
 
 @query(f"SELECT id, floor(x * 2 + 0.5) / 2 AS half, floor(n / 1048576.0 + 0.5)::BIGINT || ' MB' AS size FROM ({I.NUMBERS})")
@@ -389,10 +407,10 @@ def upper_median(spark, sf_dir):
     return I.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(layout_stats.upper_median(F.col("o_totalprice")).alias("median"))
 
 
-@query("SELECT DISTINCT c_custkey AS doc_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT p_partkey % 3000 AS doc_id FROM part EXCEPT SELECT user_id FROM events WHERE event_type <> 'view'")
 def scanned_documents(spark, sf_dir):
-    pages = I.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
-    return layout_stats.scanned_documents(pages, I.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id")))
+    pages = I.table(spark, sf_dir, "part").select((F.col("p_partkey") % 3000).alias("doc_id"))
+    return layout_stats.scanned_documents(pages, I.table(spark, sf_dir, "events").where("event_type <> 'view'").select(F.col("user_id").alias("doc_id")))
 
 
 _CELLS = "string_split(joined, '|')"
