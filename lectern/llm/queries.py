@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .chunk_dedup import chunk_dedup
 from .embed_dedup import near_embeddings
 from .fertility import quality_measures
@@ -51,6 +52,11 @@ def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_measures(_table(spark, sf_dir, "documents")).select(*columns)
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7_fertility that SQL can express."""
+    return quality_measures(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -64,10 +70,14 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_jaccard_join, op2_suffix_dedup, op3_warc, op4_mix, op5_secret_scan, op6_chunk_dedup, op7_fertility, op8_pack, op9_near_embeddings, op10_jump_shards)
+    f.__name__: f for f in (op1_jaccard_join, op2_suffix_dedup, op3_warc, op4_mix, op5_secret_scan, op6_chunk_dedup, op7_fertility, op8_pack, op9_near_embeddings, op10_jump_shards, quality_base_counts)
 }
 
 ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op5_secret_scan": oracles.SECRET_SCAN,
+    "op10_jump_shards": oracles.JUMP_SHARDS,
+    "quality_base_counts": oracles.QUALITY_BASE,
     "op1_jaccard_join": r"""
 WITH RECURSIVE split AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 grams AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM split WHERE len(w) > 0),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: The multiplier of the generator in the paper, and its four 16-bit digits from the lowest.
 MULTIPLIER = 2862933555777941757
@@ -50,14 +51,16 @@ def jump_shard(key: Column, shards: int) -> Column:
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16) -> DataFrame:
     """One row per document: its shard by the law `key`, its slot there, and its shard once one more is appended.
 
-    The key is xxhash64 of the id alone, so rows with one id share a shard
-    whatever their texts. A null id is a key like any other; a null text has
+    The key is a whole-number id itself (the jump hash's generator spreads even
+    neighbouring ones) and xxhash64 of any other id, so rows with one id share a
+    shard whatever their texts. A null id is a key like any other (-1); a null text has
     size 1 and the CRC of no bytes; an empty table gives no rows; other columns
     are ignored. Slots of a shard are gapless: rows are numbered inside ranges
     of the shard (by another hash) in parallel and shifted by the rows of the
     ranges before. Rows alike in id, CRC and size swap slots without effect.
     """
-    key = F.xxhash64(F.col(id_col))
+    whole = isinstance(docs.schema[id_col].dataType, IntegralType)
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-1)) if whole else F.xxhash64(F.col(id_col))
     spread = max(1, docs.count() // (shards * ROWS_PER_RANGE) + 1)
     placed = docs.select(
         F.col(id_col).alias("doc_id"),

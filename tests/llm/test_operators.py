@@ -649,3 +649,14 @@ def test_long_text_in_packing(spark):
     whole = b"".join(bytes(p.ids) for p in sorted(pieces, key=lambda p: p.start))
     bpe = loaded(ByteBpe, "byte_bpe_50k.json")
     assert whole == bpe.ids(text) + (1).to_bytes(4, "little")
+
+
+def test_shards_against_the_plain_algorithm(spark):
+    ids = [*range(3000), 10**12, 2**63 - 1, -1, -5]
+    frame = spark.createDataFrame([(i, "t", "clash") for i in ids], "doc_id long, text string, law string")
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in shard_documents(frame).collect()}
+    assert got == {i: (jump(i & (1 << 64) - 1, 16), jump(i & (1 << 64) - 1, 17)) for i in ids}
+    counts = np.bincount([got[i][0] for i in range(3000)], minlength=16)
+    assert counts.min() > 130 and counts.max() < 250
+    named = shard_documents(spark.createDataFrame([("a", "t"), ("b", "t"), (None, None)], "doc_id string, text string")).collect()
+    assert len(named) == 3 and all(0 <= r.shard < 16 for r in named)
