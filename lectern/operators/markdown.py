@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from lectern.functions import text as T
+from lectern.functions.rules import let
 
 # Named entities that are understood.
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "hellip": "…"}
@@ -37,13 +38,18 @@ def inline(text: str) -> str:
 
 
 def inline_column(text: Column) -> Column:
-    """inline() as column expressions but for numeric entities, which SQL can't spell."""
+    """inline() as column expressions."""
     for pattern, out in INLINE:
         text = F.regexp_replace(text, F.lit(pattern.replace(r"\Z", r"\z")), F.lit(out))
     # one pass over all names: the ampersand goes last, so that nothing it makes is read again
     for name in sorted(ENTITIES, key=lambda n: n == "amp"):
         text = F.regexp_replace(text, f"&{name};", ENTITIES[name])
-    return text
+
+    def spelled(done: Column, code: Column) -> Column:
+        sign = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+        return F.when(F.length(code) > 7, done).when(code.cast("long") >= 0x110000, done).otherwise(F.replace(done, F.concat(F.lit("&#"), code, F.lit(";")), sign))
+
+    return let(text, lambda t: F.aggregate(F.array_distinct(F.regexp_extract_all(t, F.lit("&#([0-9]+);"), 1)), t, spelled))
 
 
 _NUMBER, _KNOWN, _CAPTION = (re.compile(p.replace(r"\z", r"\Z")) for p in (T.NUMBER + r"(?=\S)", T.REFERENCES, T.CAPTION))

@@ -13,12 +13,12 @@ CHARS_PER_SECOND, LOOKAHEAD, PREVIEW = 14, 3, 140
 
 
 def page_bounds(sentences: DataFrame, first_page: int, last_page: int | None = None) -> DataFrame:
-    """Per document the first and last sentence on the pages: 0 and -1 if none; the range is clamped to 1..pages, and without a last page open."""
-    inside = F.col("page") >= max(first_page, 1)
-    if last_page is not None:
-        inside = F.col("page").between(F.least(F.greatest(F.lit(first_page), F.lit(1)), F.lit(last_page)), F.greatest(F.lit(last_page), F.lit(1)))
-    at = F.when(inside, F.col("sentence_id"))
-    return sentences.groupBy("doc_id").agg(F.coalesce(F.min(at), F.lit(0)).alias("first"), F.coalesce(F.max(at), F.lit(-1)).alias("last"))
+    """Per document the first and last sentence on the pages: 0 and -1 if none; both ends are clamped to 1..pages of the document, and without a last page the range is open."""
+    pages = F.max("page").over(Window.partitionBy("doc_id"))
+    upper = F.col("_pages") if last_page is None else F.least(F.greatest(F.lit(last_page), F.lit(1)), F.col("_pages"))
+    lower = F.least(F.greatest(F.lit(first_page), F.lit(1)), upper)
+    at = F.when(F.col("page").between(lower, upper), F.col("sentence_id"))
+    return sentences.withColumn("_pages", pages).groupBy("doc_id").agg(F.coalesce(F.min(at), F.lit(0)).alias("first"), F.coalesce(F.max(at), F.lit(-1)).alias("last"))
 
 
 def positions(bounds: DataFrame, index: str = "index") -> DataFrame:

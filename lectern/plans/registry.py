@@ -181,7 +181,8 @@ def sentence_chunks(spark, sf_dir):
 # --- views ------------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, coalesce(min(CASE WHEN page BETWEEN 2 AND 3 THEN sentence_id END), 0) AS first, coalesce(max(CASE WHEN page BETWEEN 2 AND 3 THEN sentence_id END), -1) AS last FROM ({I.SENTENCES}) GROUP BY doc_id")
+@query(f"""WITH s AS ({I.SENTENCES}), m AS (SELECT doc_id, max(page) AS m FROM s GROUP BY 1), r AS (SELECT doc_id, least(2, m) AS lo, least(3, m) AS hi FROM m)
+SELECT doc_id, min(sentence_id) AS first, max(sentence_id) AS last FROM s JOIN r USING (doc_id) WHERE page >= lo AND page <= hi GROUP BY doc_id""")
 def page_bounds(spark, sf_dir):
     return views.page_bounds(_sentences(spark, sf_dir), 2, 3)
 
@@ -258,6 +259,13 @@ def latest_overrides(spark, sf_dir):
     return speech.latest_overrides(I.sql(spark, sf_dir, I.CHANGES, "events"))
 
 
+@query(f"""WITH c AS ({I.CHANGES}), z AS (SELECT doc_id, max(seq) AS z FROM c WHERE seq % 37 = 0 GROUP BY 1), k AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.doc_id = c.doc_id AND z.z >= c.seq))
+SELECT doc_id, block_id, included FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, block_id ORDER BY seq DESC) = 1""")
+def overrides_after_resets(spark, sf_dir):
+    changes = I.sql(spark, sf_dir, I.CHANGES, "events")
+    return speech.latest_overrides(changes, changes.where("seq % 37 = 0").select("doc_id", "seq"))
+
+
 @query(f"SELECT doc_id, unnest(range(1, least(1 + 3, max(sentence_id)) + 1))::INT AS sentence_id FROM ({I.SENTENCES}) GROUP BY doc_id")
 def lookahead(spark, sf_dir):
     bounds = views.page_bounds(_sentences(spark, sf_dir), 1, 1000).withColumn("index", F.lit(1))
@@ -306,10 +314,11 @@ def _inline_sql(expr: str) -> str:
             expr = f"regexp_replace({expr}, {R.quoted(pattern)}, {R.quoted(out)}, 'g')"
     for name in sorted(markdown.ENTITIES, key=lambda n: n == "amp"):
         expr = f"replace({expr}, {R.quoted('&' + name + ';')}, {R.quoted(markdown.ENTITIES[name])})"
-    return expr
+    codes = f"list_distinct(list_filter(regexp_extract_all({expr}, '&#([0-9]+);', 1), lambda c: c::BIGINT < 1114112))"
+    return f"list_reduce(list_prepend({expr}, {codes}), lambda t, c: replace(t, '&#' || c || ';', chr(c::INT)))"
 
 
-_MARKED = "concat('**Bold** and _soft_ [link](http://x) `code` ~~old~~ $a+b$ \\\\*kept\\\\* &amp; ', html)"
+_MARKED = "concat('**Bold** and _soft_ [link](http://x) `code` ~~old~~ $a+b$ \\\\*kept\\\\* &amp; &#233;&#65;&#128512; &#99999999; &amp;#66; ', html)"
 
 
 @query(f"SELECT page_id, {_inline_sql(_MARKED.replace(chr(92) * 2, chr(92)))} AS text FROM pages")
