@@ -12,6 +12,11 @@ PAPER = """concat('Study of Item ', doc_id, chr(10), chr(10), 'Ann Author, Bo Wr
 SPOKEN = """concat(text, ' See Fig. ', doc_id % 9 + 1, ' and Figs. 4, Eq. (', doc_id % 7, ') e.g., cats i.e. cf. Li vs. Wu; 5−', doc_id % 5,
  ' is ≤ 9% of A & B, 10^', doc_id % 4, ' or 10^−5, pages 1–2–', doc_id % 6, ' takes ~5 ms → x ± 2 × 3 ≥ 1 (Smith et al., 20', 10 + doc_id % 10,
  ') [', doc_id % 30, ', 3–5] (see Fig. 3) (Smith, 2020; Jones and Li, 2019b) a ( , b) ; c Appx. B, Ref. [4] w.r.t. it, Secs. 2 Sec. 3 Tab. 1 Refs. 5 Alg. 2 approx. 7° ●')"""
+#: A paper whose every line of text stands in Markdown: heads of both kinds, items, quotes, tables, code, formulas, a note and references that another head ends.
+MARKED_PAPER = """concat('# Study of *Item* ', doc_id, chr(10), chr(10), 'Ann Author, Bo Writer', chr(10), chr(10), '## 1. Introduction ##', chr(10), replace(text, chr(10), concat(chr(10), chr(10))), chr(10), chr(10),
+ 'A co-', chr(10), 'operative line of **words**', chr(10), '- one [item](u)', chr(10), '  that goes on', chr(10), '2) two', chr(10), '> quoted', chr(10), chr(10), 'Setup', chr(10), '-----', chr(10), '| a | b |', chr(10), '|---|---|', chr(10), '| ', doc_id, ' | ', lang, ' |', chr(10), chr(10), 'c | d', chr(10),
+ '```sql', chr(10), '  SELECT | 1', chr(10), '# no head', chr(10), '~~~', chr(10), '$$', chr(10), 'x = ', doc_id, chr(10), '+ 1 $$', chr(10), '$$ y = 2 $$', chr(10), '***', chr(10), '![p](q)', chr(10), '[^1]: a note `here`', chr(10), 'Table ', doc_id % 9 + 1, ': Results', chr(10), chr(10),
+ 'References', chr(10), chr(10), '[1] Foo et al. [2] Bar.', chr(10), chr(10), '[3] Baz', chr(10), chr(10), '# Appendix', chr(10), 'Last words &amp; more.')"""
 #: Ligatures, separate accents, invisible characters and odd spaces around a text.
 UNCOMPOSED = "concat('ﬁne´ etude ´e¨o gar¸ con\u00ad x\u200by½ ', text, '\u00a0ﬂat²\u2009Ａ e\u0301 ')"
 SENTENCES = """SELECT conv_id AS doc_id, CAST(turn AS INT) AS sentence_id, CAST(floor(turn / 2) AS INT) AS block_id, CAST(turn % 2 AS INT) AS ordinal, CAST(floor(turn / 3) AS INT) + 1 AS page, 'body' AS kind, text FROM conversations"""

@@ -15,6 +15,7 @@ from lectern.operators.text_blocks import text_blocks
 
 from . import inputs as I
 from . import layout_queries
+from .markdown_sql import blocks_sql
 from .sentence_sql import parts_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(layout_queries.QUERIES)
@@ -327,9 +328,13 @@ def inline_markdown(spark, sf_dir):
     return pages.select("page_id", markdown.inline_column(F.col("t")).alias("text"))
 
 
-@query()
+_MARKDOWN_SQL = blocks_sql(f"(SELECT doc_id, {I.MARKED_PAPER} AS t FROM documents)", _inline_sql, lambda e: f"trim(regexp_replace({e}, '\\s+', ' ', 'g'))", _re2(T.CAPTION), _re2(T.NUMBER), _re2(T.REFERENCES))
+
+
+@query(f"WITH {_MARKDOWN_SQL} SELECT doc_id, block_id, 1 AS page, kind, text, 10.0::DOUBLE AS size, number, heading, CASE WHEN rows IS NOT NULL THEN to_json(rows)::VARCHAR END AS rows FROM mblocks")
 def markdown_blocks(spark, sf_dir):
-    return markdown.markdown_blocks(_papers(spark, sf_dir)).withColumn("rows", F.to_json("rows"))
+    papers = I.sql(spark, sf_dir, f"SELECT doc_id, {I.MARKED_PAPER} AS text FROM documents", "documents")
+    return markdown.markdown_blocks(papers).withColumn("rows", F.to_json("rows"))
 
 
 @query(rf"""WITH t AS (SELECT doc_id, {I.UNCOMPOSED} AS t FROM documents),
