@@ -85,6 +85,17 @@ def discard(spark: SparkSession, made: list[str]) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def copies_dealt(groups: DataFrame, count: str, index: str, most: int) -> DataFrame:
+    """Each row of groups `count` times, with `index` from 0. What a row has beyond `most` copies is dealt over the tasks in stretches of `most`."""
+    n, each = F.col(count), F.lit(most).cast("long")
+    few = groups.where(n <= most).withColumn(index, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    # two steps, so that no array has more than a stretch's entries
+    starts = groups.where(n > most).withColumn("_start", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / each)))).withColumn("_start", F.col("_start") * each)
+    dealt = starts.repartition(*[F.col(f"`{c}`") for c in groups.columns], "_start")
+    many = dealt.withColumn(index, F.explode(F.sequence(F.col("_start"), F.least(F.col("_start") + each, n) - 1))).drop("_start")
+    return few.unionByName(many)
+
+
 def text_bytes(docs: DataFrame, text: str) -> int:
     """UTF-8 bytes of all texts: sizes the number of buckets, nothing else."""
     return docs.select(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0

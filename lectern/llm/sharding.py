@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from ._shared import copies_dealt
+
 #: The multiplier of the generator in the paper, and its four 16-bit digits from the lowest.
 MULTIPLIER = 2862933555777941757
 DIGITS = [MULTIPLIER >> (16 * i) & 0xFFFF for i in range(4)]
@@ -57,7 +59,8 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size 1 and the CRC of no bytes; an empty table gives no rows; other columns
     are ignored. Slots of a shard are gapless: rows are numbered inside ranges
     of the shard (by another hash) in parallel and shifted by the rows of the
-    ranges before. Rows alike in id, CRC and size swap slots without effect.
+    ranges before. Rows alike in id, CRC and size are interchangeable, so they
+    are counted before the shuffle and dealt out again afterwards.
     """
     whole = isinstance(docs.schema[id_col].dataType, IntegralType)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-1)) if whole else F.xxhash64(F.col(id_col))
@@ -71,11 +74,12 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         jump_shard(key, shards + 1).alias("grown_shard"),
         F.pmod(F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))), F.lit(spread)).alias("range"),
     )
-    counts = placed.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"))
+    alike = placed.groupBy(*placed.columns).agg(F.count(F.lit(1)).alias("n"))
+    counts = alike.groupBy("shard", "range").agg(F.sum("n").alias("rows"))
     before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
-    inside = Window.partitionBy("shard", "range").orderBy("doc_id", "text_crc32", "size")
-    numbered = placed.withColumn("place", F.row_number().over(inside) - 1)
-    return numbered.join(offsets, ["shard", "range"]).select(
-        "doc_id", "size", "text_crc32", "law", "shard", (F.col("place") + F.col("skip")).cast("long").alias("slot"), "grown_shard"
+    offsets = counts.select("shard", "range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("skip"))
+    inside = Window.partitionBy("shard", "range").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = alike.withColumn("place", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offsets, ["shard", "range"])
+    return copies_dealt(numbered, "n", "copy", ROWS_PER_RANGE).select(
+        "doc_id", "size", "text_crc32", "law", "shard", (F.col("place") + F.col("skip") + F.col("copy")).cast("long").alias("slot"), "grown_shard"
     )
