@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD, cut
+from ._shared import WORD, copies_dealt, cut
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST_COPIES, BLOCK, SEED = 1.5, 2.0, 4096, 0
 NEAR = 1e-9
+#: Rows alike that one task deals to blocks at a time.
+ALIKE = 100_000
 
 
 def word_count(text):
@@ -118,8 +120,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     A null text has size 0; a null source is a source of its own, last in
     order; sources without words get target 0; an empty table gives no rows;
-    other columns are ignored. Rows alike in id and size are interchangeable, so
-    they may swap copies without changing the result. Blocks are set by hashes
+    other columns are ignored. Rows alike in id, text and source are
+    interchangeable, so they are counted before they are dealt to blocks, and
+    may swap copies without changing the result. Blocks are set by hashes
     of ids and by counts, so partitions and reruns make no difference; another
     `seed` draws another mix with the same expectations.
     """
@@ -131,10 +134,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     largest = targets.agg(F.max("n")).first()[0]
     columns = "doc_id", "source", "size", "spot", "chance", "block"
     # per-source facts ride along: sources are few against documents, and the join splits a hot source
-    joined = base.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    alike = base.groupBy(*base.columns).agg(F.count(F.lit(1)).alias("alike"))
+    dealt = copies_dealt(alike, "alike", "nth", ALIKE)
+    joined = dealt.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     chance = F.greatest(F.col("due") - F.col("whole"), F.lit(0.0))
     blocks = F.floor((F.col("n") - 1) / block) + 1
-    level = joined.select("doc_id", "source", "size", "spot", chance.alias("chance"), F.pmod(F.xxhash64("spot", F.lit(seed)), blocks).alias("block"))
+    place = F.when(F.col("nth") == 0, F.xxhash64("spot", F.lit(seed))).otherwise(F.xxhash64("spot", F.lit(seed), "nth"))
+    level = joined.select("doc_id", "source", "size", "spot", chance.alias("chance"), F.pmod(place, blocks).alias("block"))
     decided = []
     last = False
     while largest is not None:

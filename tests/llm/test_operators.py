@@ -4,6 +4,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -568,7 +569,6 @@ def test_fences_reject_junk_and_keep_prose(spark):
 
 def test_measures_against_a_loop(spark, rows):
     import sentencepiece
-    from collections import Counter
     from math import log2
 
     import public_tokenizers
@@ -660,3 +660,26 @@ def test_shards_against_the_plain_algorithm(spark):
     assert counts.min() > 130 and counts.max() < 250
     named = shard_documents(spark.createDataFrame([("a", "t"), ("b", "t"), (None, None)], "doc_id string, text string")).collect()
     assert len(named) == 3 and all(0 <= r.shard < 16 for r in named)
+
+
+def test_rows_alike_are_dealt(spark, monkeypatch):
+    """A third of all rows alike in id, text and source: counted, then dealt in stretches; slots stay gapless, copies stay whole."""
+    monkeypatch.setattr("lectern.llm.sharding.ROWS_PER_RANGE", 40)
+    monkeypatch.setattr("lectern.llm.mixing.ALIKE", 40)
+    rows = [(7, "one two three", "a")] * 333 + [(None, None, None)] * 90 + [(100 + i, "word " * (i % 9 + 1), "ab"[i % 2]) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    shards = shard_documents(frame).collect()
+    assert Counter((r.doc_id, r.size) for r in shards) == Counter((i, len((t or "").encode()) + 1) for i, t, _ in rows)
+    for shard in {r.shard for r in shards}:
+        slots = sorted(r.slot for r in shards if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    assert {r.shard for r in shards if r.doc_id == 7} == {jump(7, 16)}
+
+    drawn = mix(frame, block=16).collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in drawn) == Counter((i, s, len((t or "").split())) for i, t, s in rows)
+    assert sorted((r.doc_id or -1, r.taken) for r in drawn) == sorted((r.doc_id or -1, r.taken) for r in mix(frame.repartition(2), block=16).collect())
+    for source in ("a", "b"):
+        mine = [r for r in drawn if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine)
+        assert all(r.taken <= 2 * r.size for r in mine)
+    assert apply_mix(frame, block=16).count() == sum(r.copies for r in drawn)
