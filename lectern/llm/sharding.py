@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from ._shared import copies_dealt
+from ._shared import copies_dealt, cut
 
 #: The multiplier of the generator in the paper, and its four 16-bit digits from the lowest.
 MULTIPLIER = 2862933555777941757
@@ -74,7 +74,8 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         jump_shard(key, shards + 1).alias("grown_shard"),
         F.pmod(F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))), F.lit(spread)).alias("range"),
     )
-    alike = placed.groupBy(*placed.columns).agg(F.count(F.lit(1)).alias("n"))
+    # written once: ranges, places and both kinds of groups are read from it
+    alike = cut(placed.groupBy(*placed.columns).agg(F.count(F.lit(1)).alias("n")), "alike")
     counts = alike.groupBy("shard", "range").agg(F.sum("n").alias("rows"))
     before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("skip"))
