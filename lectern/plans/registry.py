@@ -281,8 +281,7 @@ def tts_dedupe(spark, sf_dir):
 
 @query()
 def tts_wav(spark, sf_dir):
-    said = audio.synthesize(_sentences(spark, sf_dir).select("doc_id", "sentence_id", "text"), audio.silent_voice())
-    return audio.wav_files(said)
+    return audio.spoken_files(_sentences(spark, sf_dir), audio.silent_voice())
 
 
 # --- sources and scalar functions ---------------------------------------------------
